@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, scratch
 
 METRICS = ("load_ms", "html_kb", "ttfb_ms")
 PERCENTS = (50, 75, 90, 95, 99)
@@ -74,13 +74,14 @@ def _long(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, F.expr(f"stack({len(METRICS)}, {stack}) as (metric, k)")).where("k is not null")
 
 
-def _salted(rows: DataFrame) -> DataFrame:
+def _salted(perf: DataFrame) -> DataFrame:
     """Rows by (site_id, page_type, salt), redelivered ones dropped; salt is 0 but for hot groups."""
+    rows = keyed_rows(perf)
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rows.groupBy("site_id", "page_type").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("t"))
-    hot = sizes.crossJoin(F.broadcast(total)).where(F.col("n") * 2 * parts > F.col("t")).select(F.col("site_id").alias("hs"), F.col("page_type").alias("hp"))
+    sizes = scratch(perf.groupBy(F.col("site_id").cast("string").alias("hs"), F.col("page_type").cast("string").alias("hp")).agg(F.count("*").alias("n")), "groups")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = sizes.where(F.col("n") * (2 * parts) > F.lit(total)).select("hs", "hp")
     same = F.col("site_id").eqNullSafe(F.col("hs")) & F.col("page_type").eqNullSafe(F.col("hp"))
     marked = rows.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), same, "left").drop("hs", "hp")
     salt = F.when(F.col("is_hot"), 1 + F.pmod(F.xxhash64("perf_id"), F.lit(parts))).otherwise(F.lit(0)).cast("int")
@@ -104,7 +105,7 @@ def _rank_targets(percents: tuple[int, ...]) -> Column:
 def exact_percentiles(perf: DataFrame, percents: tuple[int, ...] = PERCENTS) -> DataFrame:
     """(site_id, page_type, metric, pct, n, value): exact percentiles per group."""
     group = ["site_id", "page_type", "metric"]
-    values = _long(_salted(keyed_rows(perf)), "site_id", "page_type", "salt").withColumn("digit", F.shiftright("k", 32))
+    values = _long(_salted(perf), "site_id", "page_type", "salt").withColumn("digit", F.shiftright("k", 32))
     first = values.groupBy("site_id", "page_type", "salt", "metric", "digit").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     hist = _add_up(first, [*group, "digit"])
     up_to = Window.partitionBy(*group).orderBy("digit")
@@ -112,8 +113,6 @@ def exact_percentiles(perf: DataFrame, percents: tuple[int, ...] = PERCENTS) ->
     # each digit keeps the targets whose rank falls into it
     targets = ranked.select(*group, "digit", "n", "lo", "hi", "cum", "n_all", _rank_targets(percents)).select("*", "t.pct", "t.rank").drop("t")
     targets = targets.where("rank <= cum and rank > cum - n")
-    from ..session import scratch
-
     targets = scratch(targets, "radix")
     done = targets.where("lo = hi").select(*group, "pct", "n_all", F.col("lo").alias("k"))
     rest = targets.where("lo <> hi")

@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import shredding, snapshots
+from .operators import graph, shredding, sitefiles, snapshots
+from .plans import fetch_log, history, pages
+from .sources import tables
+from .streaming import windows
+
+_PLANS = (pages, history, fetch_log, graph, sitefiles, tables, windows)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {
+    out: dict[str, Query] = {
         "p5_found": snapshots.found,
         "p6_found": shredding.found,
         "p6_signal_table": shredding.signal_table,
     }
+    for plan in _PLANS:
+        out |= plan.registry()[0]
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": snapshots.FOUND_SQL}
+    out = {"p5_found": snapshots.FOUND_SQL}
+    for plan in _PLANS:
+        out |= plan.registry()[1]
+    return out

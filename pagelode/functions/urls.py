@@ -6,7 +6,7 @@ in both dialects, so unparsable input gives NULL instead of an error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html import q
@@ -74,33 +74,29 @@ def normalized_sql(e: str) -> str:
     return f"CASE WHEN {scheme} IN ('http', 'https') AND {host_sql(e)} IS NOT NULL THEN {scheme} || '://' || {host_sql(e)} || {port_text} || {clean} || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END END"
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """href against base: absolute, //host, /path, ?query, #fragment or relative to the base's directory; dot segments removed."""
-    origin = F.concat(part(base, 1), F.lit("://"), part(base, 2), F.when(F.coalesce(part(base, 3), F.lit("")) != "", F.concat(F.lit(":"), part(base, 3))).otherwise(""))
-    directory = F.regexp_replace(path(base), "[^/]*$", "")
+def with_resolved(df: DataFrame, href: str, base: str, out: str) -> DataFrame:
+    """href against base: absolute, //host, /path, ?query, #fragment or relative to the base's directory; dot segments removed.
+
+    Done in steps over helper columns: nested in one expression, each part would be worked out many times.
+    """
+    h, b = F.col(href), F.col(base)
+    df = df.withColumn("_origin", F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)).withColumn("_path", path(b))
     joined = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(origin, path(base), href))
-        .when((href == "") | href.startswith("#"), F.regexp_replace(base, "#.*$", ""))
-        .otherwise(F.concat(origin, directory, href))
+        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(F.regexp_extract("_origin", "^([^:]*:)", 1), h))
+        .when(h.startswith("/"), F.concat("_origin", h))
+        .when(h.startswith("?"), F.concat("_origin", "_path", h))
+        .when((h == "") | h.startswith("#"), F.regexp_replace(b, "#.*$", ""))
+        .otherwise(F.concat("_origin", F.regexp_replace("_path", "[^/]*$", ""), h))
     )
-    return _without_dots(joined)
-
-
-def _without_dots(url: Column) -> Column:
-    """a/./b -> a/b and a/x/../b -> a/b, by folding the path's segments."""
-    segments = F.split(part(url, 4), "/")
+    df = df.withColumn("_joined", joined)
+    dotted = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*/\.\.?(?:/[^?#]*)?|/\.\.?(?:/[^?#]*)?)([?#].*)?$"
     folded = F.aggregate(
-        segments, F.array().cast("array<string>"),
+        F.split(F.regexp_extract("_joined", dotted, 2), "/"), F.array().cast("array<string>"),
         lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(x))),
     )
-    rebuilt = F.concat(
-        part(url, 1), F.lit("://"), part(url, 2), F.when(F.coalesce(part(url, 3), F.lit("")) != "", F.concat(F.lit(":"), part(url, 3))).otherwise(""), F.array_join(folded, "/"),
-        F.when(url.contains("?"), F.concat(F.lit("?"), part(url, 5))).otherwise(""),
-    )
-    return F.when(url.rlike(r"/\.\.?(?:/|$|\?)") & url.rlike(SHAPE), rebuilt).otherwise(url)
+    rebuilt = F.concat(F.regexp_extract("_joined", dotted, 1), F.array_join(folded, "/"), F.regexp_extract("_joined", dotted, 3))
+    return df.withColumn(out, F.when(F.col("_joined").rlike(dotted), rebuilt).otherwise(F.col("_joined"))).drop("_origin", "_path", "_joined")
 
 
 def is_safe(url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -11,11 +11,16 @@ from ..plans.pages import pages
 from ..session import load, scratch
 
 
+def _host(url: str) -> Column:
+    """Host of a normalised address."""
+    return F.regexp_extract(url, "^https?://([^/:?]+)", 1)
+
+
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst) normalised internal links of the fetched pages, each once; self links left out."""
     rows = pages(spark, sf_dir).select("url", F.explode(F.regexp_extract_all("html", F.lit(H.QUOTED_HREF), F.lit(1))).alias("href")).where("href <> '' and not href rlike '(?i)^(?:javascript|mailto|tel):'").distinct()
-    edges = rows.select(U.normalized(F.col("url")).alias("src"), U.normalized(U.resolved(F.col("href"), F.col("url"))).alias("dst"))
-    return edges.where((U.host(F.col("src")) == U.host(F.col("dst"))) & (F.col("src") != F.col("dst"))).distinct()
+    edges = U.with_resolved(rows, "href", "url", "target").select(U.normalized(F.col("url")).alias("src"), U.normalized(F.col("target")).alias("dst")).where("src <> dst")
+    return edges.where(_host("src") == _host("dst")).distinct()
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -48,16 +53,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     return out
 
 
-def homes(edges: DataFrame) -> DataFrame:
-    """The root address of every host that occurs, linked to all its pages that nothing links to, so a crawl reaches each."""
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("url")).distinct()
-    return nodes.select(F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("url")).select(F.concat("url", F.lit("/")).alias("url")).distinct()
-
-
 def crawl_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth of every address from its site's smallest page address, following links."""
     edges = links(spark, sf_dir)
-    seeds = edges.groupBy(U.host(F.col("src")).alias("host")).agg(F.min("src").alias("url"))
+    seeds = edges.groupBy(_host("src").alias("host")).agg(F.min("src").alias("url"))
     return bfs(edges, seeds, 4).withColumn("depth", F.col("depth").cast("bigint"))
 
 
@@ -78,8 +77,8 @@ def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each orphan, the best-linked page of its host that doesn't link to it already: joined by host, best hub by aggregate."""
     edges = links(spark, sf_dir)
     d = degrees(edges).where("n_out > 0")
-    hubs = d.groupBy(U.host(F.col("url")).alias("host")).agg(F.max(F.struct("n_out", "url")).alias("best")).select("host", F.col("best.url").alias("hub"))
-    return orphans(spark, sf_dir).withColumn("host", U.host(F.col("url"))).join(hubs, "host").where("hub <> url").select("url", "hub")
+    hubs = d.groupBy(_host("url").alias("host")).agg(F.max(F.struct("n_out", "url")).alias("best")).select("host", F.col("best.url").alias("hub"))
+    return orphans(spark, sf_dir).withColumn("host", _host("url")).join(hubs, "host").where("hub <> url").select("url", "hub")
 
 
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

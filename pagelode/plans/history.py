@@ -141,7 +141,7 @@ BY_TYPE_SQL = f"SELECT coalesce(page_type, 'unknown') AS page_type, count(*) AS
 
 def results_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page types against statuses, as columns."""
-    rows = results(spark, sf_dir).groupBy(F.coalesce("page_type", F.lit("unknown")).alias("page_type")).pivot("status", ["PASS", "WARN", "FAIL"]).agg(F.count("*"))
+    rows = results(spark, sf_dir).groupBy(F.coalesce("page_type", F.lit("unknown")).alias("page_type")).pivot("status", ["PASS", "WARN", "FAIL"]).agg(F.count(F.lit(1)))
     return rows.select("page_type", *[F.coalesce(s, F.lit(0)).alias(s.lower()) for s in ("PASS", "WARN", "FAIL")])
 
 
@@ -183,7 +183,7 @@ def page_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = states.select(F.col("snapshot_id").alias("a"), "url", F.col("rank").alias("ra")).join(pairs, "a")
     both = left.join(states.select(F.col("snapshot_id").alias("b"), "url", F.col("rank").alias("rb")), ["b", "url"])
     move = F.when(F.col("rb") > F.col("ra"), "improved").when(F.col("rb") < F.col("ra"), "regressed").otherwise("unchanged")
-    return both.select(F.col("b").alias("snapshot_id"), move.alias("move")).groupBy("snapshot_id").pivot("move", ["improved", "regressed", "unchanged"]).agg(F.count("*")).na.fill(0)
+    return both.select(F.col("b").alias("snapshot_id"), move.alias("move")).groupBy("snapshot_id").pivot("move", ["improved", "regressed", "unchanged"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 PAGE_MOVES_SQL = """
@@ -247,9 +247,9 @@ def upsert_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPSERT_SQL = """
-WITH u AS (SELECT DISTINCT domain, id, coalesce(updated_at, created_at) AS at FROM sites WHERE domain IS NOT NULL
+WITH u AS (SELECT DISTINCT domain, id, coalesce(updated_at, created_at) AS seen FROM sites WHERE domain IS NOT NULL
   UNION ALL SELECT {host}, NULL, fetched_at FROM fetch_results WHERE {host} IS NOT NULL)
-SELECT domain, max(id) AS id, max(at) AS updated_at, CASE WHEN count(id) > 0 THEN 'updated' ELSE 'inserted' END AS action FROM u GROUP BY domain
+SELECT domain, max(id) AS id, max(seen) AS updated_at, CASE WHEN count(id) > 0 THEN 'updated' ELSE 'inserted' END AS action FROM u GROUP BY domain
 """
 
 

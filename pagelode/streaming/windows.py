@@ -45,7 +45,8 @@ def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = window_counts(source(spark, sf_dir, "events"), "ts", "event_type", "value")
+    events = source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = window_counts(events, "ts", "event_type", "value")
     rows = drain(counts, "hourly")
     return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.col("total").cast("double").alias("total"))
 

@@ -83,7 +83,7 @@ def pick_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = rows.select("id", F.explode(F.array(*[F.struct(F.lit(p).cast("bigint").alias("priority"), F.concat(F.lit(a), F.col("d"), F.lit(b)).alias("url")) for p, (a, b) in enumerate([("https://", "/sitemap.xml"), ("https://", "/Sitemap.xml/"), ("http://", "/sitemap.xml"), ("https://", "/sitemap_index.xml"), ("https://", "/news-sitemap.xml")])])).alias("c")).select("id", "c.*")
     once = c.groupBy("id", F.regexp_replace(F.lower("url"), "/+$", "").alias("key")).agg(F.min_by("url", "priority").alias("url"), F.min("priority").alias("priority"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("priority"))
-    return once.withColumn("rank", rank.cast("bigint")).where("rank <= 3").select("id", "url", "rank")
+    return once.withColumn("rank", rank).where("rank <= 3").select("id", "url", F.col("rank").cast("bigint").alias("rank"))
 
 
 def freshness(spark: SparkSession, sf_dir: str, as_of: str = "2025-01-01 00:00:00") -> DataFrame:

@@ -88,7 +88,7 @@ def slowest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three slowest measured loads of each page type: top-k by partial ranking."""
     rows = load(spark, sf_dir, "page_performance").select("perf_id", "page_type", "load_ms").where("load_ms is not null").dropDuplicates(["perf_id"])
     rank = F.row_number().over(Window.partitionBy("page_type").orderBy(F.desc("load_ms"), "perf_id"))
-    return rows.withColumn("rank", rank.cast("bigint")).where("rank <= 3")
+    return rows.withColumn("rank", rank).where("rank <= 3").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 SLOWEST_SQL = """

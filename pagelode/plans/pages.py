@@ -265,7 +265,7 @@ def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = found.select("site_id", F.explode("a").alias("a")).select("site_id", H.trimmed(F.regexp_replace("a", H.TAGS, "")).alias("anchor")).where("anchor <> '' and length(anchor) < 100")
     counts = texts.groupBy("site_id", "anchor").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("site_id").orderBy(F.desc("n"), "anchor"))
-    return counts.withColumn("rank", rank.cast("bigint")).where("rank <= 10")
+    return counts.withColumn("rank", rank).where("rank <= 10").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 ANCHOR_SQL = """

@@ -47,6 +47,13 @@ def _clean() -> None:
             shutil.rmtree(at, ignore_errors=True)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows, which is counted first; otherwise left to a shuffled join."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a heavy per-row stage at least a task per core: files of a single row group would otherwise make one task.
     Inputs that already have enough splits aren't shuffled."""

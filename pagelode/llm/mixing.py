@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import load, scratch, spread
+from ..session import load, scratch, small, spread
 from .tokens import VOCABULARY, with_token_counts
 
 SEED = 20240101
@@ -101,16 +101,16 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     sized = scratch(with_token_counts(sized, "text", "tokens", vocabulary), "tokens").where("tokens > 0").dropDuplicates(["doc_id"])
     wanted = targets_of(targets)
     usable = wanted.where("target_share > 0 and max_repeats >= 1")
-    sized = scratch(sized.join(F.broadcast(usable.select("source")), "source", "left_semi"), "sized")  # targets are a fixed, few rows
+    sized = scratch(sized.join(small(usable.select("source")), "source", "left_semi"), "sized")
     hist = sized.groupBy("source", "tokens").agg(F.count("*").alias("n_docs"))
     have = hist.groupBy("source").agg(F.sum(F.col("tokens") * F.col("n_docs")).alias("available"), F.sum("n_docs").alias("n_docs")).join(usable, "source")
-    rows = have.collect()  # as many rows as usable targets
+    rows = have.collect()  # as many rows as usable targets, with what each has
     whole = math.fsum(r.target_share for r in rows)
     size = min((r.available * r.max_repeats / (r.target_share / whole) for r in rows), default=0.0)
     budgets = [(r.source, int(min(size * (r.target_share / whole), r.available * r.max_repeats) + 0.5), int(r.max_repeats), r.target_share / whole) for r in rows]
     spark = documents.sparkSession
     budget = spark.createDataFrame(budgets, "source string, budget bigint, max_repeats bigint, attainable_share double")
-    plan = hist.join(F.broadcast(budget), "source").groupBy("source").applyInPandas(_plan, "source string, tokens bigint, rounds bigint, extra bigint")
+    plan = hist.join(small(budget), "source").groupBy("source").applyInPandas(_plan, "source string, tokens bigint, rounds bigint, extra bigint")
     plan = scratch(plan, "plan")
     # the first `extra` documents of each (source, tokens) by seeded hash, by way of hash buckets
     marked = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("b", F.shiftrightunsigned("h", 52))
@@ -125,7 +125,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY,
     )
     all_used = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))  # over the few target rows
     shares = (
-        wanted.join(F.broadcast(have.select("source", "available", "n_docs")), "source", "left").join(F.broadcast(budget.select("source", "budget", "attainable_share")), "source", "left").join(F.broadcast(used), "source", "left")
+        wanted.join(have.select("source", "available", "n_docs"), "source", "left").join(budget.select("source", "budget", "attainable_share"), "source", "left").join(used, "source", "left")
         .withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
         .select(
             "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("available", F.lit(0)).alias("available_tokens"),

@@ -64,6 +64,7 @@ _NOTATIONS = re.compile(
             r"\bXXX+\b[^.]{0,40}\bXXX+\b",
             r"\bundefined\s+undefined\b",
             r"\bNaN\s+\w+",
+            r"\bInvalid Date\b",
             r"\[object Object\]",
             r"\b(?:null|none)\s+null\b",
         ]
@@ -171,7 +172,7 @@ def residue_in(text: str) -> bool:
 
 
 #: Cheap necessary conditions, tried once on a page's whole text before any text is looked at closely.
-_MARKS = ("{", "}", "[", "]", "<", ">", "@@", "##", "*|", "__", "TODO", "tbd", "TBD", "tba", "TBA", "XXX", "undefined", "NaN", "null", "(insert", "(einf", "(insé")
+_MARKS = ("{", "}", "[", "]", "<", ">", "@@", "##", "*|", "__", "TODO", "tbd", "TBD", "tba", "TBA", "XXX", "undefined", "NaN", "Invalid Date", "null", "(insert", "(einf", "(insé")
 _PERCENT, _COLONS = re.compile(r"%[\w%(]"), re.compile(r":[A-Za-z][\w.-]*:")
 _FILLER_HINTS = (
     "text here", "goes here", "headline here", "title here", "name here", "content here", "copy here", "text hier", "texte ici", "texto aquí", "lorem", "placeholder", "final copy", "sample text", "dummy text", "before going live",

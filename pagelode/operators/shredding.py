@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import load, spread
+from ..session import load, scratch, spread
 
 NODE_DDL = "id string, node int, parent int, label string, ordinal int, path string, kind string, scalar string"
 _NODE = pa.schema([("id", pa.string()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("path", pa.string()), ("kind", pa.string()), ("scalar", pa.string())])
@@ -166,13 +166,13 @@ def type_rows(nodes: DataFrame) -> DataFrame:
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = (SIGNALS + "[].id", SIGNALS + ".*", TYPES + "[].name", TYPES + "[].type", TYPES + ".*")
-    nodes = shred(load(spark, sf_dir, "audit_results"), "id", "data", wanted)
+    nodes = scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", wanted), "nodes")  # read four times below
     row = lambda df, kind: df.select(F.col("id").alias("result_id"), F.lit(kind).alias("child_kind"), "child_pos", F.col("name").alias("child_name"))
     return row(signal_rows(nodes), "signal").unionByName(row(type_rows(nodes), "type"))
 
 
 def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The signals of every result as an entity table with its parent link."""
-    nodes = shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*"))
+    nodes = scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes")
     rows = signal_rows(nodes)
     return rows.select(F.col("id").alias("result_id"), "child_pos", F.col("name").alias("signal"), "category", F.expr("try_cast(score as double)").alias("score"), F.expr("try_cast(weight as double)").alias("weight"), "availability")

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators.shredding import SIGNALS, TYPES, shred, signal_rows, type_rows
-from ..session import load
+from ..session import load, scratch
 
 
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per result and signal category: sum of score times weight over sum of weights, in percent to one place; signals without weight don't count."""
-    rows = signal_rows(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")))
+    rows = signal_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes"))
     typed = rows.select("id", "category", F.expr("try_cast(score as double)").alias("s"), F.expr("try_cast(weight as double)").alias("w")).where("w > 0 and s is not null")
     per = typed.groupBy(F.col("id").alias("result_id"), "category").agg(F.count("*").alias("n"), (F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("mean"))
     return per.select("result_id", "category", "n", (F.floor(F.col("mean") * 1000 + 0.5) / 10).alias("score"))
@@ -20,13 +20,13 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each type was found, and in how many results."""
-    rows = type_rows(shred(load(spark, sf_dir, "audit_results"), "id", "data", (TYPES + "[].name", TYPES + ".*")))
+    rows = type_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (TYPES + "[].name", TYPES + ".*")), "nodes"))
     return rows.groupBy(F.col("name").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_results"))
 
 
 def signal_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest, median and highest score of each signal (the median as an order statistic)."""
-    rows = signal_rows(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")))
+    rows = signal_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes"))
     typed = rows.select(F.col("name").alias("signal"), F.expr("try_cast(score as double)").alias("s")).where("s is not null")
     return typed.groupBy("signal").agg(F.count("*").alias("n"), F.min("s").alias("low"), F.expr("percentile_disc(0.5) within group (order by s)").alias("median"), F.max("s").alias("high"))
 

@@ -208,6 +208,8 @@ def judge(value: str, model: ChainModel) -> tuple[str, str | None] | None:
             continue
         chain = CHAINS[i - 1]
         if chain[-1][0] == "utf-8":
+            if not _sequences(chain[-1][1]).search(text):  # nothing to invert
+                continue
             whole = invert(text, chain)
             if whole is not None and whole != text and all(map(readable, whole)) and _pieces(text, chain[-1][1]):
                 return chain_name(chain), _deeper(whole)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, scratch
 
 
 def following(heads: DataFrame, group: str, at: str, key: str, unit: str = "month") -> DataFrame:
@@ -37,20 +37,31 @@ def page_states(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, url, status, recs): one row per snapshot and url; recs is a digest of the set of (priority, area, message)."""
     recs = "array_sort(array_distinct(transform(filter(coalesce(p.recommendations, array()), r -> r is not null), r -> to_json(struct(r.priority, r.area, r.message), map('ignoreNullFields', 'false')))))"
     rows = snapshots.where("pages is not null").select(F.col("id").alias("snapshot_id"), F.posexplode("pages").alias("pos", "p")).where("p is not null and p.url is not null")
-    rows = rows.select("snapshot_id", "pos", F.col("p.url").alias("url"), F.struct(F.col("p.status").alias("status"), F.expr(f"sha2(concat_ws('\\n', {recs}), 256)").alias("recs")).alias("state"))
+    rows = rows.select("snapshot_id", "pos", F.col("p.url").alias("url"), F.struct(F.col("p.status").alias("status"), F.expr(f"unhex(md5(nullif(concat_ws('\\n', {recs}), '')))").alias("recs")).alias("state"))
     last = rows.groupBy("snapshot_id", "url").agg(F.max_by("state", "pos").alias("state"))
     return last.select("snapshot_id", "url", "state.status", "state.recs")
 
 
+def except_all_both(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new EXCEPT ALL old, old EXCEPT ALL new), from one shuffle: rows of both are counted with opposite signs.
+
+    Residue rows come once each, whatever their surplus."""
+    cols = new.columns
+    signed = new.withColumn("_sign", F.lit(1)).unionByName(old.withColumn("_sign", F.lit(-1)))
+    left = scratch(signed.groupBy(*cols).agg(F.sum("_sign").alias("_surplus")).where("_surplus <> 0"), "residue")
+    return left.where("_surplus > 0").select(*cols), left.where("_surplus < 0").select(*cols)
+
+
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, url, change_kind): pages added, removed or changed from each snapshot of a site to the next."""
     heads = snapshots.where("pages is not null").select("id", "site_id", "snapshot_at").distinct()
     later = following(heads, "site_id", "snapshot_at", "id")
-    states = page_states(snapshots)
+    states = scratch(page_states(snapshots), "states")
     new = states.join(later.select(F.col("next_key").alias("snapshot_id")), "snapshot_id", "left_semi")
     old = states.join(later.select(F.col("id").alias("snapshot_id"), "next_key"), "snapshot_id").select(F.col("next_key").alias("snapshot_id"), "url", "status", "recs")
-    only_new = new.exceptAll(old).select("snapshot_id", "url", F.lit(True).alias("is_new"))
-    only_old = old.exceptAll(new).select("snapshot_id", "url", F.lit(True).alias("is_old"))
+    added, dropped = except_all_both(new, old)
+    only_new = added.select("snapshot_id", "url", F.lit(True).alias("is_new"))
+    only_old = dropped.select("snapshot_id", "url", F.lit(True).alias("is_old"))
     kind = F.when(F.col("is_new") & F.col("is_old"), "changed").when(F.col("is_new"), "added").otherwise("removed")
     return only_new.join(only_old, ["snapshot_id", "url"], "full").select("snapshot_id", "url", kind.alias("change_kind"))
 

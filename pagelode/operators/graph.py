@@ -96,6 +96,28 @@ def calendar_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("base").agg(F.count("*").alias("n_urls"), F.max(F.try_to_number("number", F.lit("999999999")).cast("bigint")).alias("highest")).where("n_urls >= 10")
 
 
+def depth_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses per depth of the crawl."""
+    return crawl_depths(spark, sf_dir).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to fetched pages by what the last fetch of the target gave: per source page, how many are broken."""
+    last = load(spark, sf_dir, "fetch_results").select(U.normalized(F.col("url")).alias("dst"), "fetched_at", "fetch_id", "http_status").where("dst is not null").groupBy("dst").agg(F.max_by("http_status", F.struct("fetched_at", "fetch_id")).alias("status"))
+    hits = links(spark, sf_dir).join(last, "dst")
+    return hits.groupBy("src").agg(F.count("*").alias("n_known"), F.count_if(F.coalesce(F.col("status") >= 400, F.lit(True))).alias("n_broken"))
+
+
+def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetches of each site by outcome: success, errors by status, blocked, not HTML, empty."""
+    rows = load(spark, sf_dir, "fetch_results").select("fetch_id", "site_id", "http_status", "fetch_ok", "content_type", F.coalesce(F.length("html"), F.lit(0)).alias("size"), "challenge_detected").dropDuplicates(["fetch_id"])
+    kind = (
+        F.when(F.col("challenge_detected"), "blocked").when(F.col("http_status") >= 400, "error").when(~F.coalesce(F.col("content_type"), F.lit("text/html")).rlike("(?i)html"), "non_html")
+        .when(F.col("size") == 0, "empty").when(F.coalesce("fetch_ok", F.lit(False)), "success").otherwise("unknown")
+    )
+    return rows.groupBy("site_id", kind.alias("outcome")).agg(F.count("*").alias("n"), F.sum("size").alias("chars"))
+
+
 def _links_sql() -> str:
     from ..plans.pages import PAGE_SQL
 
@@ -119,7 +141,10 @@ def registry() -> tuple[dict, dict[str, str]]:
         "orphans": f"{e}, {own} SELECT url FROM orph",
         "link_suggestions": f"{e}, {deg}, {own}, hub AS (SELECT host, hub FROM (SELECT {U.host_sql('url')} AS host, url AS hub, row_number() OVER (PARTITION BY {U.host_sql('url')} ORDER BY n_out DESC, url DESC) AS rn FROM d WHERE n_out > 0) WHERE rn = 1) SELECT url, hub FROM orph JOIN hub ON hub.host = {U.host_sql('url')} WHERE hub <> url",
         "crawl_depths": f"{e}, s AS (SELECT min(src) AS url FROM e GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 4) SELECT url, min(depth) AS depth FROM b GROUP BY url",
+        "depth_distribution": f"{e}, s AS (SELECT min(src) AS url FROM e GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 4) SELECT depth, count(*) AS n FROM (SELECT url, min(depth) AS depth FROM b GROUP BY url) GROUP BY depth",
+        "link_status": f"{e}, l AS (SELECT dst, arg_max(coalesce(http_status, -1), (fetched_at, fetch_id)) AS status FROM (SELECT {U.normalized_sql('url')} AS dst, fetched_at, fetch_id, http_status FROM fetch_results) WHERE dst IS NOT NULL GROUP BY dst) SELECT src, count(*) AS n_known, count(*) FILTER (WHERE status >= 400 OR status = -1) AS n_broken FROM e JOIN l USING (dst) GROUP BY src",
+        "crawl_summary": "SELECT site_id, CASE WHEN challenge_detected THEN 'blocked' WHEN http_status >= 400 THEN 'error' WHEN NOT regexp_matches(coalesce(content_type, 'text/html'), '(?i)html') THEN 'non_html' WHEN size = 0 THEN 'empty' WHEN coalesce(fetch_ok, false) THEN 'success' ELSE 'unknown' END AS outcome, count(*) AS n, CAST(sum(size) AS BIGINT) AS chars FROM (SELECT DISTINCT fetch_id, site_id, http_status, fetch_ok, content_type, coalesce(length(html), 0) AS size, challenge_detected FROM fetch_results) GROUP BY 1, 2",
         "query_variants": "SELECT base, count(*) AS n_urls, arg_min(url, (length(url), url)) AS shortest FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS base FROM content_meta WHERE url IS NOT NULL) GROUP BY base HAVING count(*) > 1",
         "calendar_traps": "SELECT base, count(*) AS n_urls, max(TRY_CAST(n AS BIGINT)) AS highest FROM (SELECT regexp_extract(url, '^(.*?)/([0-9]+)/?(?:\\?.*)?$', 1) AS base, regexp_extract(url, '^(.*?)/([0-9]+)/?(?:\\?.*)?$', 2) AS n FROM (SELECT DISTINCT url FROM page_performance WHERE url IS NOT NULL) WHERE regexp_matches(url, '^(.*?)/([0-9]+)/?(?:\\?.*)?$')) GROUP BY base HAVING count(*) >= 10",
     }
-    return {"internal_links": links, "link_degrees": link_degrees, "orphans": orphans, "link_suggestions": link_suggestions, "crawl_depths": crawl_depths, "query_variants": query_variants, "calendar_traps": calendar_traps}, sql
+    return {"internal_links": links, "link_degrees": link_degrees, "orphans": orphans, "link_suggestions": link_suggestions, "crawl_depths": crawl_depths, "depth_distribution": depth_distribution, "link_status": link_status, "crawl_summary": crawl_summary, "query_variants": query_variants, "calendar_traps": calendar_traps}, sql

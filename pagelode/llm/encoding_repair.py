@@ -49,6 +49,7 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
     (("utf-8", "latin-1"), ("utf-8", "cp1252")),
     (("utf-8", "cp1252"), ("utf-8", "latin-1")),
 )
+_RUN = re.compile(r"[^\x00-\x7f]{2}")
 _REFERENCE = re.compile(r"&#(x[0-9a-fA-F]{1,6}|\d{1,7});")
 
 
@@ -203,12 +204,13 @@ def judge(value: str, model: ChainModel) -> tuple[str, str | None] | None:
         return "lost", None
     scores = model.scores(text)
     order = np.argsort(-scores)
+    runs = _RUN.search(text) is not None  # what UTF-8 sequences look like when read as single bytes
     for i in order:
         if i == 0:
             continue
         chain = CHAINS[i - 1]
         if chain[-1][0] == "utf-8":
-            if not _sequences(chain[-1][1]).search(text):  # nothing to invert
+            if not runs or not _sequences(chain[-1][1]).search(text):  # nothing to invert
                 continue
             whole = invert(text, chain)
             if whole is not None and whole != text and all(map(readable, whole)) and _pieces(text, chain[-1][1]):
@@ -217,7 +219,7 @@ def judge(value: str, model: ChainModel) -> tuple[str, str | None] | None:
             whole = invert(text, chain)
             if whole is not None and whole != text and all(map(plausible, whole)) and model.clean(whole) > model.clean(text) + MARGIN:
                 return chain_name(chain), whole
-    for i in order:  # part of the value only
+    for i in order if runs else ():  # part of the value only
         chain = CHAINS[i - 1] if i else ()
         if len(chain) == 1 and chain[0][0] == "utf-8" and (pieces := _pieces(text, chain[0][1])):
             parts, at = [], 0

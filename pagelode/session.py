@@ -6,13 +6,40 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Nothing is sent where workers find it anyway: on PYTHONPATH, or in the working directory of a local master.
+    """
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        on_path.add(os.path.realpath(os.getcwd()))
+    if str(root.parent) in on_path:
+        return
+    at = Path(tempfile.mkdtemp(prefix="pagelode-")) / "pagelode.zip"  # read by the driver only, which serves it to the workers
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(at))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

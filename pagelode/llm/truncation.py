@@ -4,11 +4,14 @@ Lengths of each source, in characters and in bytes and without any mark put afte
 discrete hazards h(L) = n(length = L) / n(length >= L) by window functions.  Each hazard is tested
 against the pooled hazard of its neighbours with a binomial tail, and the false discovery rate over all
 sources, units and lengths is controlled (Benjamini-Hochberg).  Texts at a significant length are flagged
-if their ending is incomplete in any way.  Cuts in transfer leave no length behind, so elsewhere an
-ending must show by itself that it isn't one: inside a tag, a character reference or a running sentence.
+if their ending is incomplete.  Cuts in transfer leave no length behind, so for them, and only as an
+addition, an ending counts at any length if it shows by itself that it isn't one: inside a tag, a
+character reference or a running sentence, or before a mark.
 
-Endings that are complete without a full stop: addresses, directives and labelled lists ("Tags: a, b"),
-list entries, signatures.
+Endings that may be complete without a full stop (forms): addresses, directives and labelled lists
+("Tags: a, b"), list entries, signatures, lines without letters.  A whole one falls on a limit by chance, so
+they are flagged where the hazard of forms alone is significant: where more of them end than at the
+lengths around.  One or two forms cut at a limit can't be told from whole ones and aren't flagged.
 
 Defined results: NULL and blank texts are no cases; trailing blanks don't count; source spellings that
 differ in case, blanks or hyphens are one, NULL sources are one source; a mark after a finished sentence
@@ -31,6 +34,8 @@ from .mixing import source_key
 REACH, GAP = 25, 2
 #: False discovery rate, and the least number of texts of a significant length.
 FDR, LEAST = 0.001, 3
+#: Kinds of endings that show a cut in transfer, at any length.
+IN_TRANSFER = ("broken", "marked", "running")
 
 _POINTERS = "read more|more|continue reading|weiterlesen|mehr|lire la suite|suite|la suite|leer más|más|seguir leyendo"
 #: Marks and pointers put after a stop (fixed).
@@ -124,9 +129,12 @@ def cut_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     limits = scratch(length_limits(ends), "limits")
     at = lambda unit: limits.where(F.col("unit") == unit).select("source", F.col("length").alias(unit), F.lit(True).alias(f"{unit}_limit"))
     joined = ends.join(at("chars"), ["source", "chars"], "left").join(at("bytes"), ["source", "bytes"], "left")
+    forms = scratch(length_limits(ends.where("kind = 'form'")), "form_limits")
+    of_forms = lambda unit: forms.where(F.col("unit") == unit).select("source", F.lit("form").alias("kind"), F.col("length").alias(unit), F.lit(True).alias(f"{unit}_form"))
+    joined = joined.join(of_forms("chars"), ["source", "kind", "chars"], "left").join(of_forms("bytes"), ["source", "kind", "bytes"], "left")
     at_limit = F.coalesce("chars_limit", F.lit(False)) | F.coalesce("bytes_limit", F.lit(False))
-    # a few words without a stop may be meant; they count where the length is a limit
-    cut = F.col("kind").isin("broken", "marked", "running") | (F.col("kind") == "open") & at_limit
+    # a few words without a stop may be meant; they count where the length is a limit, a form where it is a limit of forms
+    cut = F.col("kind").isin(*IN_TRANSFER) | (F.col("kind") == "open") & at_limit | F.coalesce("chars_form", "bytes_form", F.lit(False))
     return joined.select("doc_id", "source", "chars", "bytes", "kind", at_limit.alias("at_limit"), cut.alias("cut")), limits
 
 

@@ -134,3 +134,19 @@ def test_limits(spark):
     assert {(r.unit, r.length) for r in limits.collect()} == {("chars", 200), ("bytes", 200)}
     assert {r.doc_id for r in flagged.where("cut").collect()} == set(range(1000, 1060))
     assert truncation.cut_documents(df.limit(0))[0].count() == 0
+
+
+def test_forms_at_limits(spark):
+    rng = random.Random(4)
+    docs = [(i, "w" * (rng.randint(60, 400) - 1) + ".", "a") for i in range(800)]
+    lines = ["- The canonical ", "3. Der Crawler ", "https://e.example/", "Tags: a, b", "— Ann ", "5"]
+    for i in range(60):
+        last = lines[i % 6] + ("7" if i % 6 == 5 else "l") * (1 + i % 7)
+        docs.append((1000 + i, "w" * (198 - len(last)) + ".\n" + last, "a"))
+        docs.append((2000 + i, "w" * (203 + 3 * i) + ".\n" + last, "a"))
+        docs.append((3000 + i, "One. " + "ab " * 98 + "c", "b"))
+        docs.append((4000 + i, "w" * (200 + 3 * i) + ".\n" + last, "b"))
+    docs.append((5000, "w" * 285 + ".\n- a whole item", "b"))  # by chance at the limit of 300 characters
+    flagged, _ = truncation.cut_documents(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+    assert {r.kind for r in flagged.where("doc_id >= 1000 and kind <> 'running'").collect()} == {"form"}
+    assert {r.doc_id for r in flagged.where("cut").collect()} == {*range(1000, 1060), *range(3000, 3060)}

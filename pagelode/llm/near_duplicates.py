@@ -1,13 +1,17 @@
 """Near-duplicate main bodies (problem 3) by covering locality-sensitive hashing.
 
-Each body becomes a sketch of ``SEGMENTS`` segments of 2**(RADIUS+1)-1 min-hash symbols over its
-``SKETCH_WORDS``-word shingles.  In each segment a covering family of bit masks (all non-zero words
-of the Hadamard code) selects the symbols that form a table key: two segments that differ in at most
-RADIUS symbols agree on every symbol of at least one mask, so they meet in that table.  By the
-pigeonhole principle every pair whose sketches differ in at most SEGMENTS*(RADIUS+1)-1 symbols
-(39 of 60 here) collides somewhere.  Colliding pairs then pass a Hamming ball on a second, 128-bit
-sketch (one-bit min-hash of three-word shingles, carried with the key, so far pairs end inside the
-join), and what is left is compared exactly.
+Each body becomes a sketch of min-hash symbols over its three-word shingles, those of the exact check.
+``SEGMENTS`` segments of 2**(RADIUS+1)-1 parts (of ``PARTS`` symbols) are taken from it.  In each segment a
+covering family of bit masks (all non-zero words of the Hadamard code) selects the parts that form a
+table key: two segments that differ in at most RADIUS parts agree on every part of at least one mask, so
+they meet in that table.  By the pigeonhole principle every pair whose segments differ in at most
+SEGMENTS*(RADIUS+1)-1 symbols (51 of 130 here) collides somewhere.  Colliding pairs then pass a Hamming
+ball on ``BITS`` bits, one of each symbol (carried with the key, so far pairs end inside the join), and what
+is left is compared exactly.
+
+A symbol of two bodies agrees with probability J, their similarity, whatever the edits.  At J = 0.5 a segment
+hits with 0.25 (parts agree with 0.25, 0.25, 0.5), so all tables miss a pair with 0.75**26 = 0.0006 and the
+ball drops it with 0.0005: a pair at the threshold is missed with 0.0011 at most, a closer one less.
 
 Equal bodies are folded into one class first; only class representatives are sketched into tables
 and linked, and the links are spread over the members at the end.  No bucket, partner or candidate
@@ -33,17 +37,18 @@ from .html_events import Page
 from .main_content import main_blocks
 from .residue import has_residue
 
-RADIUS, SEGMENTS, SKETCH_WORDS = 1, 20, 6
-WIDTH = 2 ** (RADIUS + 1) - 1
+RADIUS, SEGMENTS, PARTS = 1, 26, ((0, 1), (2, 3), (4,))
+WIDTH = sum(len(p) for p in PARTS)
 SYMBOLS = SEGMENTS * WIDTH
-BITS, BALL = 128, 44
+BITS, BALL = 256, 87
 SHINGLE_WORDS, SIMILARITY = 3, 0.5
 
 _WORDS = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240101)
-_A = (_RNG.integers(0, 2**31, SYMBOLS + BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, SYMBOLS + BITS, dtype=np.uint32)
-_MIX = _RNG.integers(1, 2**63, max(SKETCH_WORDS, SHINGLE_WORDS), dtype=np.uint64) | np.uint64(1)
+_A = (_RNG.integers(0, 2**31, BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _RNG.integers(0, 2**32, BITS, dtype=np.uint32)
+_MIX = _RNG.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
+_SKETCH = ["s1", "s2", "s3", "s4"]
 
 
 def covering_masks(radius: int) -> list[tuple[int, ...]]:
@@ -72,11 +77,10 @@ def _mins(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketch(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols as int32, the 128 bits as two int64)."""
-    symbols = _mins(_shingles(word_hashes, SKETCH_WORDS), _A[:SYMBOLS], _B[:SYMBOLS])
-    low = _mins(_shingles(word_hashes, SHINGLE_WORDS), _A[SYMBOLS:], _B[SYMBOLS:])
+    """(symbols of the segments as int32, the bits as four int64)."""
+    low = _mins(_shingles(word_hashes, SHINGLE_WORDS), _A, _B)
     bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint8)
-    return symbols.view(np.int32), np.packbits(bits).view(np.int64)
+    return low[:SYMBOLS].view(np.int32), np.packbits(bits).view(np.int64)
 
 
 class WordHashes(dict):
@@ -90,14 +94,14 @@ class WordHashes(dict):
 
 
 _BODY = pa.schema(
-    [("fetch_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("symbols", pa.list_(pa.int32())), ("words", pa.string())]
+    [("fetch_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), *[(s, pa.int64()) for s in _SKETCH], ("symbols", pa.list_(pa.int32())), ("words", pa.string())]
 )
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in _BODY]
         for fetch_id, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             page = Page(html.as_py())
             main = main_blocks(page)
@@ -109,27 +113,27 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = " ".join(words)
             digest = xxhash.xxh3_128_intdigest(text)
             symbols, bits = sketch(np.array([known[w] for w in words], np.uint64))
-            row = (fetch_id, (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63), int(bits[0]), int(bits[1]), symbols, text)
+            row = (fetch_id, (digest >> 64) - (1 << 63), (digest & (2**64 - 1)) - (1 << 63), *bits.tolist(), symbols, text)
             for col, value in zip(cols, row, strict=True):
                 col.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BODY, strict=True)], schema=_BODY)
 
 
 def bodies(fetches: DataFrame) -> DataFrame:
-    """(fetch_id, h1, h2: hash of the body, s1, s2: bit sketch, symbols, words) of every page with a body."""
+    """(fetch_id, h1, h2: hash of the body, s1 to s4: bit sketch, symbols, words) of every page with a body."""
     pages = fetches.select(F.col("fetch_id").cast("bigint"), F.col("html").cast("string")).where("length(html) > 0 and fetch_id is not null")
-    return spread(pages).mapInArrow(_bodies, "fetch_id bigint, h1 bigint, h2 bigint, s1 bigint, s2 bigint, symbols array<int>, words string")
+    return spread(pages).mapInArrow(_bodies, "fetch_id bigint, h1 bigint, h2 bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, symbols array<int>, words string")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of representatives that meet in some table and whose bit sketches are within the ball."""
     masks = covering_masks(RADIUS)
     keys = F.array(
-        *[F.xxhash64(F.lit(s * len(masks) + m), *[F.col("symbols")[s * WIDTH + i] for i in kept]) for s in range(SEGMENTS) for m, kept in enumerate(masks)]
+        *[F.xxhash64(F.lit(s * len(masks) + m), *[F.col("symbols")[s * WIDTH + i] for part in kept for i in PARTS[part]]) for s in range(SEGMENTS) for m, kept in enumerate(masks)]
     )
-    table = reps.select(F.explode(keys).alias("key"), F.col("rep").alias("id"), "s1", "s2")
+    table = reps.select(F.explode(keys).alias("key"), F.col("rep").alias("id"), *_SKETCH)
     a, b = table.alias("a"), table.alias("b")
-    near = F.expr(f"bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {BALL}")
+    near = F.expr(" + ".join(f"bit_count(a.{s} ^ b.{s})" for s in _SKETCH) + f" <= {BALL}")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -157,8 +161,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicate_links(made: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links between class representatives a < b, members (rep, fetch_id)) of ``bodies`` output."""
     made = scratch(made, "bodies")
-    per_class = made.groupBy("h1", "h2").agg(F.min_by(F.struct("fetch_id", "s1", "s2", "symbols"), "fetch_id").alias("r"))
-    reps = per_class.select(F.col("r.fetch_id").alias("rep"), "r.s1", "r.s2", "r.symbols")
+    per_class = made.groupBy("h1", "h2").agg(F.min_by(F.struct("fetch_id", *_SKETCH, "symbols"), "fetch_id").alias("r"))
+    reps = per_class.select(F.col("r.fetch_id").alias("rep"), *[f"r.{s}" for s in _SKETCH], "r.symbols")
     pairs = scratch(candidates(reps), "pairs")
     texts = made.select("fetch_id", "words")
     ids = pairs.select(F.col("a").alias("fetch_id")).unionByName(pairs.select(F.col("b").alias("fetch_id"))).distinct()

@@ -1,3 +1,6 @@
+import numpy as np
+import xxhash
+
 from conftest import rows
 from pagelode.llm import main_content, near_duplicates, residue
 from pagelode.llm.html_events import Page
@@ -94,3 +97,32 @@ def test_pairs_against_brute_force(spark):
     linked = {(r.a, r.b) for r in links.collect()}
     got = {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in linked)}
     assert len(want) > 60 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_recall_at_threshold(spark):
+    """Pairs just above J = 0.5: single-word edits spread evenly, and short entries in another order."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shingles = lambda w: set(zip(w, w[1:], w[2:], strict=False))
+    data, pairs = [], []
+
+    def add(a, b):
+        left, right = shingles(a), shingles(b)
+        if 0.5 <= len(left & right) / len(left | right) <= 0.6:
+            pairs.append((2 * len(pairs), 2 * len(pairs) + 1))
+            for fetch_id, words in zip(pairs[-1], (a, b), strict=True):
+                symbols, bits = near_duplicates.sketch(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64))
+                data.append((fetch_id, *bits.tolist(), symbols.tolist()))
+
+    for _ in range(200):
+        base = [word() for _ in range(270)]
+        add(base, [word() if i % 9 == 4 and i > 9 else w for i, w in enumerate(base)])
+        for size in (6, 7):
+            entries = [[word() for _ in range(size)] for _ in range(40)]
+            add([w for e in entries for w in e], [w for e in rng.sample(entries, 40) for w in e])
+    sketches = [f"s{i} bigint" for i in range(1, len(data[0]) - 1)]
+    reps = spark.createDataFrame(data, f"rep bigint, {', '.join(sketches)}, symbols array<int>")
+    got = {(r.a, r.b) for r in near_duplicates.candidates(reps).collect()}
+    assert len(pairs) > 500 and len(got & set(pairs)) >= 0.99 * len(pairs)

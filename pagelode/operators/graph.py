@@ -73,12 +73,17 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(linked, "url", "left_anti")
 
 
+def suggestions(edges: DataFrame, alone: DataFrame) -> DataFrame:
+    """(url, hub): for each url of alone, the page of its host with most links to it, five at least, that isn't the url itself nor linked from it; ties by address.  No hub is capped."""
+    hubs = degrees(edges).where("n_in >= 5").select(_host("url").alias("host"), F.col("url").alias("hub"), "n_in")
+    pairs = alone.select("url", _host("url").alias("host")).join(hubs, "host").where("hub <> url")
+    left = pairs.join(edges.select(F.col("src").alias("url"), F.col("dst").alias("hub")), ["url", "hub"], "left_anti")
+    return left.groupBy("url").agg(F.max(F.struct("n_in", "hub")).alias("best")).select("url", F.col("best.hub").alias("hub"))
+
+
 def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each orphan, the best-linked page of its host that doesn't link to it already: joined by host, best hub by aggregate."""
-    edges = links(spark, sf_dir)
-    d = degrees(edges).where("n_out > 0")
-    hubs = d.groupBy(_host("url").alias("host")).agg(F.max(F.struct("n_out", "url")).alias("best")).select("host", F.col("best.url").alias("hub"))
-    return orphans(spark, sf_dir).withColumn("host", _host("url")).join(hubs, "host").where("hub <> url").select("url", "hub")
+    """For each orphan, the best-linked page of its host that it doesn't link to already."""
+    return suggestions(links(spark, sf_dir), orphans(spark, sf_dir))
 
 
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

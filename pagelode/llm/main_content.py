@@ -2,13 +2,18 @@
 
 Every block is a line.  Its text-to-tag ratio is smoothed with a Gaussian over the lines around
 it; two-means clustering of the smoothed ratios gives the page's own threshold; lines above it
-are content.  The region kept is the container that gathers most content-line text, and within
-it the lines that are furniture by form or wording (by-lines, tool lists, advert labels, credits,
-letter sign-ups, pointers to other stories) are taken out again.  The rest of the lines in the
-region (headline, short subheadings, list entries) come back in although their ratio is low.
-
-Defined results: NULL or empty html, overview pages (link-headed teasers only) and pages without
-two sentences in one container have no main body; very long texts are processed whole;
+are content.  The clusters choose the region: a container's mass is the sum of the smoothed ratios of
+its content lines, and the container of the greatest mass is the page's story if that mass is
+``CLEAR`` or more, and none if it is under ``FAINT``.  Only between the two are the wording and
+sentence rules asked.  Within the region a line whose own ratio is ``CORE`` times the threshold is content
+as it stands; the lists of furniture (by-lines, tool labels, advert labels, credits, letter sign-ups,
+pointers to other stories) decide ties: lines of lower ratio, which come back in (headline, short
+subheadings, list entries) unless they are furniture by form or wording.
+
+The numbers below are parameters of the method; all are in characters, or characters per tag.
+
+Defined results: NULL or empty html, overview pages (link-headed teasers only) and pages whose
+densest container is faint have no main body; very long texts are processed whole;
 redelivered rows count once; columns other than the ones named are ignored.
 """
 
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +33,7 @@ from .html_events import LEAFLIKE, Block, Node, Page
 
 SIGMA = 1.0
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-2, 3)]
+_WHOLE = sum(_KERNEL)
 
 #: Fixed wordings of furniture inside a story's own container, per language.
 AD_LABELS = frozenset(
@@ -57,33 +64,46 @@ _FRAME = (
 )
 _SENTENCE_END = re.compile(r"[.!?…][\"”»’')\]]*(?:\s|$)")
 _NAME = re.compile(r"[A-ZÀ-Þ][\w’'-]*(?: [A-ZÀ-Þ][\w’'-]*){1,3}$")
-#: Least characters and sentences of running text that make a container a story.
+#: Mass of a container (sum of the smoothed ratios of its content lines) that makes it a story outright, and below which it is none.
+CLEAR, FAINT = 300.0, 80.0
+#: A line whose own ratio is so many times the threshold is content whatever it says.
+CORE = 3.5
+#: Between faint and clear: least characters and sentences of running text that make a container a story.
 LEAST_CHARS, LEAST_SENTENCES = 220, 2
+#: Longest text of a letter sign-up or pointer, of a by-line, of a credit, of a frame notice, and of a tool's label (with its words).
+NOTE, BYLINE, CREDIT, NOTICE, LABEL, LABEL_WORDS = 200, 90, 80, 300, 28, 4
+
+
+def line_ratios(blocks: list[Block]) -> list[float]:
+    """Text-to-tag ratio of each line; linked characters don't count as text."""
+    return [max(0, len(b.text) - b.linked) / b.tags for b in blocks]
 
 
-def smoothed_ratios(blocks: list[Block]) -> list[float]:
-    """Text-to-tag ratio of each line, smoothed; linked characters don't count as text."""
-    raw = [max(0, len(b.text) - b.linked) / b.tags for b in blocks]
-    n, out = len(raw), []
-    for i in range(n):
-        total = weight = 0.0
-        for k in range(max(0, i - 2), min(n, i + 3)):
-            w = _KERNEL[k - i + 2]
-            total += w * raw[k]
-            weight += w
-        out.append(total / weight)
+def smoothed(raw: list[float]) -> list[float]:
+    """The ratios under a Gaussian window of five lines, cut off at the page's ends."""
+    n = len(raw)
+    k1, k2 = _KERNEL[1], _KERNEL[0]
+    pad = [0.0, 0.0, *raw, 0.0, 0.0]
+    out = [(c + k1 * (b + d) + k2 * (a + e)) / _WHOLE for a, b, c, d, e in zip(pad, pad[1:], pad[2:], pad[3:], pad[4:], strict=False)]
+    for i in {*range(min(2, n)), *range(max(0, n - 2), n)}:  # fewer neighbours, less weight
+        out[i] *= _WHOLE / sum(_KERNEL[k + 2] for k in range(-2, 3) if 0 <= i + k < n)
     return out
 
 
 def two_means(values: list[float]) -> float:
     """The threshold between the two clusters of values: halfway between their means."""
-    low, high = min(values), max(values)
+    ordered = sorted(values)
+    sums, total = [0.0], 0.0
+    for v in ordered:
+        total += v
+        sums.append(total)
+    n, low, high = len(ordered), ordered[0], ordered[-1]
     for _ in range(20):
         cut = (low + high) / 2
-        below, above = [v for v in values if v <= cut], [v for v in values if v > cut]
-        if not above:
+        at = bisect_right(ordered, cut)
+        if at == n:
             return cut
-        new = sum(below) / len(below), sum(above) / len(above)
+        new = sums[at] / at, (total - sums[at]) / (n - at)
         if new == (low, high):
             break
         low, high = new
@@ -104,18 +124,16 @@ def _sentences(text: str) -> int:
 def _furniture(b: Block, after_head: int) -> bool:
     """after_head: lines since the headline, 0 at and before it."""
     text, tag = b.text, b.node.tag
-    low = text.lower()
-    if tag == "figcaption" or tag in ("button", "label", "caption") or (_CREDIT.match(text) and len(text) < 80):
-        return True
-    if low in AD_LABELS or low in TOOL_LABELS:
+    if tag in ("figcaption", "button", "label", "caption", "address"):
         return True
-    if tag == "address":
-        return True
-    if len(text) < 200 and (any(k in low for k in _LETTER) or _COMMENT.search(text)):
+    if len(text) >= NOTE:
+        return False
+    low = text.lower()
+    if low in AD_LABELS or low in TOOL_LABELS or any(k in low for k in _LETTER) or _COMMENT.search(text) or _POINTER.match(text):
         return True
-    if len(text) < 200 and _POINTER.match(text):
+    if len(text) < CREDIT and _CREDIT.match(text):
         return True
-    if 0 < after_head <= 3 and len(text) < 90 and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "li") and not _SENTENCE_END.search(text):
+    if 0 < after_head <= 3 and len(text) < BYLINE and tag not in ("h1", "h2", "h3", "h4", "h5", "h6", "li") and not _SENTENCE_END.search(text):
         if _UPDATED.search(text) or _BYLINE.match(text) or _NAME.match(text):
             return True
     return False
@@ -126,32 +144,64 @@ def main_blocks(page: Page) -> list[int]:
     blocks = page.blocks
     if not blocks:
         return []
-    ratios = smoothed_ratios(blocks)
+    raw = line_ratios(blocks)
+    ratios = smoothed(raw)
     cut = two_means(ratios)
-    homes = [container_of(b.node) for b in blocks]
     mass: dict[int, float] = {}
     of: dict[int, list[int]] = {}
-    for i, (b, home) in enumerate(zip(blocks, homes, strict=True)):
+    home_of: dict[int, Node] = {}  # by element, as its lines mostly follow one another
+    homes: dict[int, Node] = {}
+    for i, b in enumerate(blocks):
+        node = b.node
+        home = home_of.get(id(node))
+        if home is None:
+            home = home_of[id(node)] = container_of(node)
         key = id(home)
+        homes[key] = home
         of.setdefault(key, []).append(i)
-        free = len(b.text) - b.linked
-        if ratios[i] > cut and free > 0:
-            mass[key] = mass.get(key, 0.0) + free * min(1.0, len(b.text) / 80)
+        if ratios[i] > cut:
+            mass[key] = mass.get(key, 0.0) + ratios[i]
     for key in sorted(mass, key=mass.get, reverse=True):
+        if mass[key] < FAINT:
+            break
         rows = of[key]
-        home = homes[rows[0]]
-        if not _is_story(blocks, rows, home):
+        if mass[key] < CLEAR and not _is_story(blocks, rows):
             continue
-        opening = next((i for i in rows if _sentences(blocks[i].text) and len(blocks[i].text) > 60), rows[0])
+        rows = _region(blocks, key, homes, of, mass, raw, ratios, cut)
+        opening = next((i for i in rows if raw[i] > cut and _sentences(blocks[i].text)), rows[0])
         first = next((i for i in rows if i <= opening and (blocks[i].node.tag in ("h1", "h2") or "headline" in blocks[i].node.cls)), rows[0])
-        kept = [i for i in rows if i >= first and not _furniture(blocks[i], i - first)]
+        kept = [i for i in rows if i >= first and (raw[i] > CORE * cut and ratios[i] > cut or not _furniture(blocks[i], i - first))]
         kept = _without_tool_lists(blocks, kept)
         if sum(_sentences(blocks[i].text) for i in kept) >= LEAST_SENTENCES:
             return [i + 1 for i in kept]
     return []
 
 
-def _is_story(blocks: list[Block], rows: list[int], home: Node) -> bool:
+def _region(blocks: list[Block], key: int, homes: dict[int, Node], of: dict[int, list[int]], mass: dict[int, float], raw: list[float], ratios: list[float], cut: float) -> list[int]:
+    """Lines of the story's container and of the parts set beside or inside it: containers of the same parent, or
+    whose parent is the container, that aren't headed by a link, and whose content lines lie above the
+    threshold by their own ratios.  A headline in an element of its own right before joins them."""
+    home, rows = homes[key], of[key]
+    for other, its in of.items():
+        near = homes[other]
+        if other == key or other not in mass or near.parent is not home and (near.parent is not home.parent or home.parent.tag in ("body", "html", "#root")):
+            continue
+        top = [raw[i] for i in its if ratios[i] > cut]
+        head = blocks[its[0]]
+        if sum(top) > cut * len(top) and head.linked < 0.9 * len(head.text) and any(_sentences(blocks[i].text) for i in its):
+            rows = sorted(rows + its)
+    before = rows[0] - 1
+    if before >= 0 and blocks[before].node.tag in ("h1", "h2") and blocks[rows[0]].node.tag not in ("h1", "h2") and "headline" not in blocks[rows[0]].node.cls:
+        up = blocks[before].node.parent
+        while up is not None and up is not home and up is not home.parent:
+            up = up.parent
+        if up is not None and up.tag not in ("body", "html", "#root"):
+            rows = [before, *rows]
+    return rows
+
+
+def _is_story(blocks: list[Block], rows: list[int]) -> bool:
+    """The rules for a container between faint and clear."""
     head = blocks[rows[0]]
     if head.linked >= 0.9 * len(head.text) and len(rows) <= 4:  # a teaser: its heading is a link
         return False
@@ -159,7 +209,7 @@ def _is_story(blocks: list[Block], rows: list[int], home: Node) -> bool:
     for i in rows:
         b = blocks[i]
         n = _sentences(b.text) if b.linked < 0.5 * len(b.text) else 0
-        if n and not _furniture(b, 0) and not (len(b.text) < 300 and _framing(b.text)):
+        if n and not _furniture(b, 0) and not (len(b.text) < NOTICE and _framing(b.text)):
             chars, sentences = chars + len(b.text), sentences + n
             if chars >= LEAST_CHARS and sentences >= LEAST_SENTENCES:
                 return True
@@ -177,7 +227,7 @@ def _without_tool_lists(blocks: list[Block], kept: list[int]) -> list[int]:
     for i in kept:
         if blocks[i].node.tag == "li":
             lists.setdefault(id(blocks[i].node.parent), []).append(i)
-    bare = {i for rows in lists.values() if all(len(blocks[i].text) <= 28 and len(blocks[i].text.split()) <= 4 for i in rows) for i in rows}
+    bare = {i for rows in lists.values() if all(len(blocks[i].text) <= LABEL and len(blocks[i].text.split()) <= LABEL_WORDS for i in rows) for i in rows}
     return [i for i in kept if i not in bare]
 
 

@@ -4,20 +4,35 @@ Two kinds of evidence, joined per fetch:
 
 * residue: the visible text (title included; code samples, scripts and ``noscript`` beside other
   content excluded) holds a placeholder in some template notation, or filler text;
-* message: the page has no body of its own, and a message on it (error, bot gate, need-scripts
-  notice) is known by phrase rules, or recurs, masked (numbers, dates, addresses, the site's own
-  name) and hashed, on ``WIDE_SITES`` sites or more, on such bare pages only, and reads like a notice.
+* message: the page has no body of its own, and shows a message (error, bot gate, need-scripts notice).
 
-Masked texts are grouped by exact 64-bit hash over all pages; only bare pages' texts take part in
-the shuffle, as (hash, site) pairs after map-side distinct.
+Messages are judged as groups.  Every sentence of a bare page, and every sentence of a story page that reads
+like a notice, is masked (numbers, dates, addresses, ids, the site's own names) and hashed; sentences of one
+hash are one group over all sites.  A group's score is the sum of
+
+* its prior by rules: server output forms and status lines ``FORM_PRIOR``, full phrases ``PHRASE_PRIOR``, mere cue
+  words ``CUE_PRIOR``, none of them no candidate;
+* how widely it recurs: log2(1 + sites that show it on bare pages);
+* less 2 log2(1 + sites that show it on pages with a story), for what is quoted or belongs to the frame;
+* less log2(length / ``SHORT``) of longer sentences that aren't server output.
+
+``ENOUGH`` points make it a message.  So a phrase counts on its own, a cue only if it recurs on three sites or
+more, and either falls if story pages show the same sentence.  No text is too long to be judged.
+
+Masked sentences are grouped by exact 64-bit hash over all pages; only (hash, site) pairs move, after a
+map-side distinct.
 
 Defined results: NULL or empty html is no case; status and flags aren't read; redelivered rows
-count once; clashing extra columns are ignored because only named columns are selected.
+count once; a NULL url masks no name; clashing extra columns are ignored because only named columns are selected.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +44,8 @@ from ..session import load, scratch, spread
 from .html_events import Page
 from .main_content import main_blocks
 
-#: Sites on which a masked notice must recur before it counts without a phrase rule.
-WIDE_SITES = 3
+#: Priors and threshold of the score, in bits, and the length from which a sentence loses.
+FORM_PRIOR, PHRASE_PRIOR, CUE_PRIOR, ENOUGH, SHORT = 3.0, 2.0, 1.0, 3.0, 120
 
 _WORD = r"[A-Za-z_][\w]*(?:\s?[._-]?\s?[A-Za-z_]\w*){0,4}"
 #: Template notations (fixed forms).
@@ -91,37 +106,36 @@ _LOREM = frozenset(
 )
 _LATIN = re.compile(r"[a-z]+")
 
-#: Messages shown in place of content, by kind (fixed phrases of four languages, plus server output forms).
+#: Server output and status lines (fixed forms).
+FORMS = re.compile(
+    r"^(?:error|fehler|erreur)(?: #| \d+)?$|^(?:[45]\d\d)(?: [a-z ]+)?$"
+    r"|^warning: \w+\(|^fatal error:|^parse error:|sqlstate\[|error establishing a database|traceback \(most recent|\b[\w.]+(?:exception|error) at [\w.]+\(|upstream connect error|\bon line (?:\d+|#)$|stack trace:",
+    re.I,
+)
+_FORM_HINTS = ("warning: ", "fatal error:", "parse error:", "sqlstate[", "traceback (most", "exception at ", "error at ", "upstream connect", "on line ", "stack trace:")
+#: Phrases that make a sentence a message of a kind by themselves (fixed, four languages).
 PHRASES = {
     "error": (
-        r"(?:page|file|resource|url) not found|could not find the page|nothing here\. check the address|no longer available$|has been removed or has expired|internal (?:server )?error|something went wrong while|service unavailable|bad gateway|gateway time-?out|server is busy|access denied|permission to (?:view|access)|^forbidden|down for maintenance|updating our systems|be back shortly"
-        r"|seite nicht gefunden|unter dieser adresse keinen inhalt|zugriff verweigert|fehlt ihnen die berechtigung|wartungsarbeiten|gleich wieder erreichbar|verarbeitung ihrer anfrage"
-        r"|page introuvable|page demandée n’existe pas|accès refusé|n’avez pas le droit de consulter|maintenance en cours|sera bientôt rétabli|traitement de votre demande"
-        r"|página no encontrada|dirección solicitada no existe|acceso denegado|no tiene permiso para|^mantenimiento$|volveremos en breve|al procesar su petición"
-        r"|^(?:error|fehler|erreur)(?: \d+)?$|^(?:[45]\d\d)(?: [a-z ]+)?$"
-        r"|^warning: \w+\(|^fatal error:|^parse error:|sqlstate\[|error establishing a database|traceback \(most recent|\b[\w.]+(?:exception|error) at [\w.]+\(|upstream connect error|\bon line \d+$|stack trace:"
+        r"(?:page|file|resource|url) not found|no longer available\.?$|internal (?:server )?error|service unavailable|bad gateway|gateway time-?out|access denied|^forbidden|down for maintenance"
+        r"|seite nicht gefunden|zugriff verweigert|wartungsarbeiten|page introuvable|accès refusé|maintenance en cours|página no encontrada|acceso denegado|^mantenimiento\.?$"
     ),
     "gate": (
-        r"just a moment|checking your browser|verify (?:that )?you are (?:a )?human|complete the security check|unusual traffic|are you a robot|captcha"
-        r"|browser wird geprüft|ein mensch sind|ungewöhnlicher (?:daten)?verkehr|sicherheitsprüfung"
-        r"|vérification de votre navigateur|n’êtes pas un robot|trafic inhabituel"
-        r"|comprobando su navegador|no es un robot|tráfico inusual"
-    ),
-    "scripts": (
-        r"(?:enable|requires|turn on|activate) (?:javascript|scripts)|scripts may be blocked|javascript (?:is )?(?:required|disabled)"
-        r"|aktivieren sie javascript|skripte benötigt|javascript (?:einschalten|aktivieren)"
-        r"|activer javascript|activez javascript|fonctionne pas sans scripts"
-        r"|active javascript|habilite javascript|bloquea los scripts"
+        r"just a moment|checking your browser|verify (?:that )?you are (?:a )?human|are you a robot|captcha|browser wird geprüft|ein mensch sind"
+        r"|vérification de votre navigateur|n’êtes pas un robot|comprobando su navegador|no es un robot"
     ),
+    "scripts": r"(?:enable|requires|turn on|activate) (?:javascript|scripts)|javascript (?:is )?(?:required|disabled)|aktivieren sie javascript|activer javascript|activez javascript|active javascript|habilite javascript",
 }
-_MESSAGE = {k: re.compile(v, re.I) for k, v in PHRASES.items()}
+_PHRASE = {k: re.compile(v, re.I) for k, v in PHRASES.items()}
 #: One feature needing scripts isn't a page needing them.
 _FEATURE = re.compile(r"(?:comments|kommentare|commentaires|comentarios|video|map|karte|carte|mapa)\b[^.]*\.?$", re.I)
-#: How a notice reads: addressed to the reader, or about state, or a reference.
-_NOTICE = re.compile(
-    r"\b(?:error|fehler|erreur|please|bitte|veuillez|por favor|reload|retry|try again|your browser|ihr browser|votre navigateur|su navegador|javascript|scripts?|skripte?|denied|blocked|unavailable|maintenance|wartung|exception|failed|refused|timeout|robot|human|captcha)\b",
-    re.I,
-)
+#: Words of notices: addressed to the reader, about state, or a reference.  They make a sentence a candidate, no more.
+CUES = (
+    "error", "fehler", "erreur", "please", "bitte", "veuillez", "por favor", "reload", "retry", "try again", "browser", "navigateur", "navegador", "javascript", "script", "skript",
+    "denied", "blocked", "unavailable", "maintenance", "wartung", "exception", "failed", "refused", "timeout", "robot", "human", "captcha", "not find", "nothing here", "removed", "expired",
+    "went wrong", "server", "busy", "permission", "berechtigung", "updating", "be back", "security check", "traffic", "verkehr", "tráfico", "trafic", "prüfung", "keinen inhalt", "erreichbar", "verarbeitung",
+    "n’existe pas", "no existe", "droit de", "permiso", "rétabli", "traitement", "demande", "petición", "solicitada", "volveremos", "datenverkehr", "anfrage",
+)
+_CUE = re.compile("|".join(map(re.escape, CUES)), re.I)
 _MASKS = (
     (re.compile(r"https?://\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|example)\b\S*|(?:/[\w.-]+){2,}"), "@url"),
     (re.compile(r"\b[0-9a-f]{12,}\b"), "@id"),
@@ -132,10 +146,9 @@ _MASKS = (
 
 def masked(text: str, names: tuple[str, ...] = ()) -> str:
     """Lower-cased text with addresses, ids, dates, numbers and the given names masked."""
-    for name in names:
-        if name:
-            text = text.replace(name, "@name")
     text = text.lower()
+    for name in names:
+        text = text.replace(name.lower(), "@name")
     for pattern, mark in _MASKS:
         text = pattern.sub(mark, text)
     return " ".join(text.split())
@@ -171,75 +184,117 @@ def residue_in(text: str) -> bool:
     return any(_NOTATIONS.search(s) and not _DISCUSSES.search(_NOTATIONS.sub(" ", s)) for s in _SENTENCES.split(text))
 
 
-#: Cheap necessary conditions, tried once on a page's whole text before any text is looked at closely.
-_MARKS = ("{", "}", "[", "]", "<", ">", "@@", "##", "*|", "__", "TODO", "tbd", "TBD", "tba", "TBA", "XXX", "undefined", "NaN", "Invalid Date", "null", "(insert", "(einf", "(insé")
+#: What a text with residue holds at least one of, in lower case: single marks, other marks, openings of filler.
+_MARKS = ("{", "}", "[", "]", "<", ">")
 _PERCENT, _COLONS = re.compile(r"%[\w%(]"), re.compile(r":[A-Za-z][\w.-]*:")
-_FILLER_HINTS = (
+_RESIDUE_HINTS = (
+    "@@", "##", "*|", "__", "todo", "tbd", "tba", "xxx", "undefined undefined", "nan ", "invalid date", "null null", "none null", "(insert", "(einf", "(insé",
     "text here", "goes here", "headline here", "title here", "name here", "content here", "copy here", "text hier", "texte ici", "texto aquí", "lorem", "placeholder", "final copy", "sample text", "dummy text", "before going live",
     "beispieltext", "blindtext", "platzhaltertext", "richtigen inhalt", "absatz", "contenu définitif", "faux texte", "texte d’exemple", "remplissage", "à compléter",
     "à remplacer", "relleno", "texto de", "provisional", "pendiente", "por completar", "por definir", "sustituya", "definitivo", "folgt", "ergänzen", "einfügen",
+    "ipsum", "consectetur", "adipisc", "eiusmod", "incididunt", "aliqua", "ullamco", "cillum", "pariatur", "nostrud", "fugiat", "laboris",
 )
-_LOREM_HINTS = ("ipsum", "consectetur", "adipisc", "eiusmod", "incididunt", "aliqua", "ullamco", "cillum", "pariatur", "nostrud", "fugiat", "laboris")
 
 
-def has_residue(page: Page) -> bool:
-    texts = [b.plain for b in page.blocks if not _in_code(b.node)]
-    if page.title:
-        texts.append(page.title)
-    if not _hinted("\n".join(texts)):
-        return False
-    return any(residue_in(t) for t in texts if _hinted(t))
-
-
-def _hinted(text: str) -> bool:
-    if any(m in text for m in _MARKS) or ("%" in text and _PERCENT.search(text)) or (":" in text and _COLONS.search(text)):
-        return True
-    low = text.lower()
-    return any(h in low for h in _FILLER_HINTS) or any(h in low for h in _LOREM_HINTS)
+@functools.cache
+def _automaton():
+    """Aho-Corasick automaton of the hints and cues, each with its class; one pass over a page's text finds them all."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for word in {*_RESIDUE_HINTS, *CUES, *_FORM_HINTS}:
+        found.add_word(word, (word in _RESIDUE_HINTS, word in CUES or word in _FORM_HINTS))
+    found.make_automaton()
+    return found
+
+
+def hinted(page: Page) -> tuple[set[int], set[int]]:
+    """(blocks that may hold residue, blocks that may hold a message), by number from 0; the title has the number after the last."""
+    texts = [b.text for b in page.blocks]
+    texts.append(page.title)
+    residue: set[int] = set()
+    cues: set[int] = set()
+    ends = None
+    joined = "\n".join(texts)
+    for at, (r, c) in _automaton().iter(joined.lower()):
+        if ends is None:
+            ends = list(itertools.accumulate(len(t.lower()) + 1 for t in texts))
+        k = bisect_right(ends, at)
+        if r:
+            residue.add(k)
+        if c:
+            cues.add(k)
+    if any(m in joined for m in _MARKS) or "%" in joined or _COLONS.search(joined):
+        residue |= {k for k, t in enumerate(texts) if any(m in t for m in _MARKS) or "%" in t and _PERCENT.search(t) or ":" in t and _COLONS.search(t)}
+    return residue, cues
+
+
+def has_residue(page: Page, may: set[int] | None = None) -> bool:
+    for k in hinted(page)[0] if may is None else may:
+        if k == len(page.blocks):
+            if residue_in(page.title):
+                return True
+        elif not _in_code(page.blocks[k].node) and residue_in(page.blocks[k].plain):
+            return True
+    return False
 
 
-def message_kind(text: str) -> str | None:
-    """The kind of message a text is, by the phrase rules."""
-    if len(text) > 400:
-        return None
-    for kind, pattern in _MESSAGE.items():
-        if pattern.search(text) and not (kind == "scripts" and _FEATURE.search(text)):
-            return kind
-    return None
+def prior_of(text: str) -> tuple[str | None, float]:
+    """(kind, prior score) of a sentence by the rules; (None, 0) if it is no candidate."""
+    if FORMS.search(text):
+        return "error", FORM_PRIOR
+    long = max(0.0, math.log2(len(text) / SHORT)) if text else 0.0
+    for kind, pattern in _PHRASE.items():
+        if pattern.search(text):
+            return (None, 0.0) if kind == "scripts" and _FEATURE.search(text) else (kind, PHRASE_PRIOR - long)
+    if _CUE.search(text) and not _FEATURE.search(text):
+        return "recurring", CUE_PRIOR - long
+    return None, 0.0
 
 
-_NOTICE_HINTS = (
-    "error", "fehler", "erreur", "please", "bitte", "veuillez", "por favor", "reload", "retry", "again", "browser", "navigat", "navegador", "javascript", "script", "skript",
-    "denied", "blocked", "unavailable", "maintenance", "wartung", "exception", "failed", "refused", "timeout", "robot", "human", "captcha",
-)
+def group_score(prior: float, bare_sites: int, story_sites: int) -> float:
+    return prior + math.log2(1 + bare_sites) - 2 * math.log2(1 + story_sites)
 
 
-def reads_like_notice(text: str) -> bool:
-    low = text.lower()
-    return len(text) <= 300 and any(h in low for h in _NOTICE_HINTS) and bool(_NOTICE.search(text))
+def names_of(url: str | None) -> tuple[str, ...]:
+    """The site's names as its address has them: the host, and the words of its first label."""
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", url or "")
+    if not m:
+        return ()
+    host = m[1].lower()
+    label = re.sub(r"^(?:www\d?|m|amp|news)\.", "", host).split(".")[0]
+    return (host, *sorted((w for w in label.split("-") if len(w) >= 4), key=len, reverse=True))
 
 
 # -- Spark ---------------------------------------------------------------------------------------
 _SCHEMA = "fetch_id bigint, site_id string, bare boolean, residue boolean, texts array<struct<h: bigint, text: string>>"
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+
 
+def _evidence(page: Page, names: tuple[str, ...] = ()) -> tuple[bool, bool, list[str]]:
+    """(without a body of its own, holds residue, masked sentences that may be messages).
 
-def _evidence(page: Page) -> tuple[bool, bool, list[str]]:
-    """(without a body of its own, holds residue, texts that may be messages)."""
+    ``noscript`` is read on bare pages that have no teasers either, that is where it stands for the content."""
     bare = not main_blocks(page)
-    texts = {}
+    residue, cues = hinted(page)
+    texts: dict[str, None] = {}
     if bare:
-        for b in page.blocks:
-            if b.linked < 0.5 * len(b.text) and len(b.text) <= 400:
-                texts.setdefault(masked(b.text), b.text)
+        shown = [b.text for b in page.blocks if b.linked < 0.5 * len(b.text)]
         if page.title:
-            texts.setdefault(masked(page.title), page.title)
-        if not page.blocks and page.noscript:
-            texts.setdefault(masked(page.noscript[:400]), page.noscript[:400])
+            shown.append(page.title)
+        if page.noscript and not any(b.linked >= 0.9 * len(b.text) and b.node.tag in _HEADS for b in page.blocks):
+            shown.append(page.noscript)
     else:
-        for b in page.blocks:
-            if len(b.text) <= 200 and reads_like_notice(b.text):
-                texts.setdefault(masked(b.text), b.text)
-    return bare, has_residue(page), list(texts)
+        shown = [page.blocks[k].text for k in sorted(cues) if k < len(page.blocks)]
+        shown += [b.text for b in page.blocks if b.text[0] in "45" and FORMS.search(b.text)]
+    for text in shown:
+        for sentence in _SENTENCE.split(text):
+            if prior_of(sentence)[0]:
+                texts[masked(sentence, names)] = None
+    return bare, has_residue(page, residue), list(texts)
+
+
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +303,8 @@ def _evidence_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     )
     for batch in batches:
         rows = []
-        for fetch_id, site_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            bare, residue, texts = _evidence(Page(html.as_py()))
+        for fetch_id, site_id, url, html in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            bare, residue, texts = _evidence(Page(html.as_py()), names_of(url))
             if residue or texts:
                 rows.append({"fetch_id": fetch_id, "site_id": site_id, "bare": bare, "residue": residue, "texts": [{"h": _hash(t), "text": t} for t in texts]})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -260,32 +315,29 @@ def _hash(text: str) -> int:
 
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("h", pa.int64()), ("kind", pa.string())])
+    schema = pa.schema([("h", pa.int64()), ("kind", pa.string()), ("score", pa.float64())])
     for batch in batches:
-        hs, texts, sites, with_story = (batch.column(k).to_pylist() for k in range(4))
-        out_h, out_k = [], []
-        for h, text, n, m in zip(hs, texts, sites, with_story, strict=True):
-            kind = message_kind(text)
-            if kind is None and n >= WIDE_SITES and m == 0 and reads_like_notice(text) and not _FEATURE.search(text):
-                kind = "recurring"
-            if kind:
-                out_h.append(h)
-                out_k.append(kind)
-        yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_k, pa.string())], schema=schema)
+        out: list[tuple] = []
+        for h, text, bare, story in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            kind, prior = prior_of(text)
+            if kind and (score := group_score(prior, bare, story)) >= ENOUGH:
+                out.append((h, kind, score))
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def residue_pages(fetches: DataFrame) -> DataFrame:
     """(fetch_id, kind) of every fetch that shows residue or a message in place of content; one row per fetch and kind.
 
-    fetches needs fetch_id, site_id and html; other columns are ignored.
+    fetches needs fetch_id, site_id and html, and url if it has one; other columns are ignored.
     """
-    pages = fetches.select(F.col("fetch_id").cast("bigint"), F.col("site_id").cast("string"), F.col("html").cast("string")).where("length(html) > 0")
+    url = F.col("url") if "url" in fetches.columns else F.lit(None)
+    pages = fetches.select(F.col("fetch_id").cast("bigint"), F.col("site_id").cast("string"), url.cast("string").alias("url"), F.col("html").cast("string")).where("length(html) > 0")
     evidence = scratch(spread(pages).mapInArrow(_evidence_batches, _SCHEMA), "residue")
     texts = evidence.select("fetch_id", "site_id", "bare", F.explode("texts").alias("t")).select("fetch_id", "site_id", "bare", "t.h", "t.text")
     # distinct sites counted in two steps, so that a text shown by very many pages is combined before it moves
     per_site = texts.groupBy("h", "site_id").agg(F.min("text").alias("text"), F.max(F.col("bare").cast("int")).alias("bare"), F.max((~F.col("bare")).cast("int")).alias("story"))
-    groups = per_site.groupBy("h").agg(F.min("text").alias("text"), F.sum("bare").cast("bigint").alias("n_sites"), F.sum("story").cast("bigint").alias("n_story"))
-    messages = groups.mapInArrow(_classify, "h bigint, kind string")
+    groups = per_site.groupBy("h").agg(F.min("text").alias("text"), F.sum("bare").cast("bigint").alias("bare_sites"), F.sum("story").cast("bigint").alias("story_sites")).where("bare_sites > 0")
+    messages = groups.mapInArrow(_classify, "h bigint, kind string, score double")
     shown = texts.where("bare").select("fetch_id", "h").join(messages, "h").select("fetch_id", "kind")
     return evidence.where("residue").select("fetch_id", F.lit("residue").alias("kind")).unionByName(shown).where("fetch_id is not null").distinct()
 

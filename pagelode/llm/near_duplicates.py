@@ -6,12 +6,13 @@ covering family of bit masks (all non-zero words of the Hadamard code) selects t
 table key: two segments that differ in at most RADIUS parts agree on every part of at least one mask, so
 they meet in that table.  By the pigeonhole principle every pair whose segments differ in at most
 SEGMENTS*(RADIUS+1)-1 symbols (51 of 130 here) collides somewhere.  Colliding pairs then pass a Hamming
-ball on ``BITS`` bits, one of each symbol (carried with the key, so far pairs end inside the join), and what
-is left is compared exactly.
+ball on ``HASHES`` two-bit digits, one of each min-hash (carried with the key, so far pairs end inside the
+join), and what is left is compared exactly.
 
 A symbol of two bodies agrees with probability J, their similarity, whatever the edits.  At J = 0.5 a segment
 hits with 0.25 (parts agree with 0.25, 0.25, 0.5), so all tables miss a pair with 0.75**26 = 0.0006 and the
-ball drops it with 0.0005: a pair at the threshold is missed with 0.0011 at most, a closer one less.
+ball, whose digits differ with 0.375, drops it with 0.0003: a pair at the threshold is missed with 0.0009, a closer
+one less.  Unrelated bodies of one language (J about 0.15) pass the ball with 0.00004.
 
 Equal bodies are folded into one class first; only class representatives are sketched into tables
 and linked, and the links are spread over the members at the end.  No bucket, partner or candidate
@@ -40,15 +41,15 @@ from .residue import has_residue
 RADIUS, SEGMENTS, PARTS = 1, 26, ((0, 1), (2, 3), (4,))
 WIDTH = sum(len(p) for p in PARTS)
 SYMBOLS = SEGMENTS * WIDTH
-BITS, BALL = 256, 87
+HASHES, BALL = 192, 95
 SHINGLE_WORDS, SIMILARITY = 3, 0.5
 
 _WORDS = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240101)
-_A = (_RNG.integers(0, 2**31, BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_B = _RNG.integers(0, 2**32, BITS, dtype=np.uint32)
+_A = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_B = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
 _MIX = _RNG.integers(1, 2**63, SHINGLE_WORDS, dtype=np.uint64) | np.uint64(1)
-_SKETCH = ["s1", "s2", "s3", "s4"]
+_SKETCH = [f"s{i}" for i in range(1, 7)]  # three words of high bits, three of low bits
 
 
 def covering_masks(radius: int) -> list[tuple[int, ...]]:
@@ -77,10 +78,10 @@ def _mins(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketch(word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of the segments as int32, the bits as four int64)."""
+    """(symbols of the segments as int32; the digits as six int64, three of high and three of low bits)."""
     low = _mins(_shingles(word_hashes, SHINGLE_WORDS), _A, _B)
-    bits = ((low * np.uint32(2654435761)) >> np.uint32(31)).astype(np.uint8)
-    return low[:SYMBOLS].view(np.int32), np.packbits(bits).view(np.int64)
+    digits = ((low * np.uint32(2654435761)) >> np.uint32(30)).astype(np.uint8)
+    return low[:SYMBOLS].view(np.int32), np.packbits(np.concatenate([digits >> 1, digits & 1])).view(np.int64)
 
 
 class WordHashes(dict):
@@ -120,20 +121,20 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bodies(fetches: DataFrame) -> DataFrame:
-    """(fetch_id, h1, h2: hash of the body, s1 to s4: bit sketch, symbols, words) of every page with a body."""
+    """(fetch_id, h1, h2: hash of the body, s1 to s6: digits of the sketch, symbols, words) of every page with a body."""
     pages = fetches.select(F.col("fetch_id").cast("bigint"), F.col("html").cast("string")).where("length(html) > 0 and fetch_id is not null")
-    return spread(pages).mapInArrow(_bodies, "fetch_id bigint, h1 bigint, h2 bigint, s1 bigint, s2 bigint, s3 bigint, s4 bigint, symbols array<int>, words string")
+    return spread(pages).mapInArrow(_bodies, f"fetch_id bigint, h1 bigint, h2 bigint, {', '.join(f'{x} bigint' for x in _SKETCH)}, symbols array<int>, words string")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of representatives that meet in some table and whose bit sketches are within the ball."""
+    """(a, b), a < b: pairs of representatives that meet in some table and whose sketches are within the ball."""
     masks = covering_masks(RADIUS)
     keys = F.array(
         *[F.xxhash64(F.lit(s * len(masks) + m), *[F.col("symbols")[s * WIDTH + i] for part in kept for i in PARTS[part]]) for s in range(SEGMENTS) for m, kept in enumerate(masks)]
     )
     table = reps.select(F.explode(keys).alias("key"), F.col("rep").alias("id"), *_SKETCH)
     a, b = table.alias("a"), table.alias("b")
-    near = F.expr(" + ".join(f"bit_count(a.{s} ^ b.{s})" for s in _SKETCH) + f" <= {BALL}")
+    near = F.expr(" + ".join(f"bit_count((a.s{i} ^ b.s{i}) | (a.s{i + 3} ^ b.s{i + 3}))" for i in (1, 2, 3)) + f" <= {BALL}")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -144,13 +145,13 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = text.split(" ")
         return set(zip(*(w[j:] for j in range(SHINGLE_WORDS)), strict=False))
 
-    last, left = None, set()
+    last, right = None, set()  # rows come sorted by b from the join before
     for batch in batches:
         out_a, out_b = [], []
         for a, b, wa, wb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            if a != last:
-                last, left = a, shingle_set(wa.as_py())
-            right = shingle_set(wb.as_py())
+            if b != last:
+                last, right = b, shingle_set(wb.as_py())
+            left = shingle_set(wa.as_py())
             common = len(left & right)
             if common and common >= SIMILARITY * (len(left) + len(right) - common):
                 out_a.append(a)

@@ -2,7 +2,7 @@ import numpy as np
 import xxhash
 
 from conftest import rows
-from pagelode.llm import main_content, near_duplicates, residue
+from pagelode.llm import html_events, main_content, near_duplicates, residue
 from pagelode.llm.html_events import Page
 
 STORY = "The glass factory opened the old mill. A group of beekeepers praised it after a long debate in the quarter."
@@ -126,3 +126,69 @@ def test_recall_at_threshold(spark):
     reps = spark.createDataFrame(data, f"rep bigint, {', '.join(sketches)}, symbols array<int>")
     got = {(r.a, r.b) for r in near_duplicates.candidates(reps).collect()}
     assert len(pairs) > 500 and len(got & set(pairs)) >= 0.99 * len(pairs)
+
+
+def test_plain_and_irregular_pages_agree():
+    """A page cut at its tags at once gives what the parser's events give."""
+    body = "<p class=a>One <b>two</b> &amp; <code>x</code> three<ul><li>a<li>b &#233;</ul><img src='x>y'><h2>Head <a href='/q'>link</a></h2><br/>tail<script>if (a<b) {'</p>'}</script> more<noscript>off</noscript><!-- <p>no -->end"
+    for head in ("<title>T &lt; t</title>", "<title>T</title><style>p > a {}</style>"):
+        html = f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>"
+        fast, slow = html_events.HtmlBlocks(), html_events.HtmlBlocks()
+        assert fast.plainly(html)
+        fast._flush()
+        slow.feed(html)
+        slow.close()
+        slow._flush()
+        of = lambda p: ([(b.text, b.plain, b.linked, b.node.tag, b.node.cls) for b in p.blocks], p.title, p.noscript)
+        assert of(fast) == of(slow) and len(fast.blocks) == 7
+    for odd in ("<p>a < b</p>", "<p a='>c</p>", "<script>open", "<textarea><b>x</b></textarea>"):
+        assert not html_events.HtmlBlocks().plainly(odd)
+
+
+def test_clusters_choose_the_region(monkeypatch):
+    page = Page(story("<blockquote>Quoted words here.</blockquote>", n=5))
+    kept = main_content.main_blocks(page)
+    assert len(kept) == 7
+    asked = []
+    monkeypatch.setattr(main_content, "_is_story", lambda *a: asked.append(a) or True)
+    assert main_content.main_blocks(page) == kept and not asked  # clear: no rule is asked
+    monkeypatch.setattr(main_content, "line_ratios", lambda blocks: [1.0] * len(blocks))
+    assert main_content.main_blocks(page) == []  # without ratios there is no region
+
+
+def test_story_in_parts():
+    part = lambda n: "<div class=p>" + f"<p>{STORY}</p>" * n + "</div>"
+    page = Page(html(f"<article><header><h1>The headline</h1></header>{part(3)}{part(2)}</article>"))
+    assert [page.blocks[i - 1].node.tag for i in main_content.main_blocks(page)] == ["h1", *["p"] * 5]
+
+
+def pages_frame(spark, data):
+    return spark.createDataFrame(data, "fetch_id bigint, site_id string, url string, html string")
+
+
+def ids(df):
+    return sorted({r.fetch_id for r in df.collect()})
+
+
+def test_messages_as_groups(spark, monkeypatch):
+    odd, quoted = "Our machines are asleep, please retry soon", "Access denied."
+    u = lambda s: f"https://www.{s}-paper.example/x"
+    bare = lambda i, s, text: (i, s, u(s), html(f"<p>{text}</p>"))
+    data = [bare(i, f"wide{i}", odd) for i in range(3)] + [bare(10, "alone", "Nothing works here, please wait")]
+    data += [bare(20, "named", "Welcome to Named-Paper, the server is busy")] + [bare(21 + i, s, f"Welcome to {s.title()}-Paper, the server is busy") for i, s in enumerate(("other", "third"))]
+    data += [bare(30, "long", "Access denied. " + "This page has more to say about what you may and may not do. " * 9)]
+    data += [(31, "noscript", u("noscript"), "<html><body><noscript>" + "Some words before. " * 30 + "Please enable JavaScript.</noscript><div id=root></div></body></html>")]
+    data += [(32, "framed", u("framed"), html("<noscript>Please enable JavaScript to see this site.</noscript><div id=root></div>"))]
+    assert ids(residue.residue_pages(pages_frame(spark, data))) == [0, 1, 2, 20, 21, 22, 30, 31, 32]
+    # what story pages of several sites show as well isn't a message on one bare page
+    data = [bare(1, "s1", quoted)] + [(2 + i, f"t{i}", u(f"t{i}"), story(f"<p>{quoted}</p>")) for i in range(4)]
+    assert ids(residue.residue_pages(pages_frame(spark, data))) == []
+    # without the count of sites the cues have nothing to stand on
+    monkeypatch.setattr(residue, "group_score", lambda prior, bare_sites, story_sites: prior)
+    assert {k for k in ("recurring",) if residue.group_score(residue.prior_of(odd)[1], 3, 0) >= residue.ENOUGH} == set()
+
+
+def test_masks():
+    assert residue.masked("Ref 12.5 at 10:30 on 2024-01-02, see https://a.example/x", ()) == "ref # at @date on @date, see @url"
+    assert residue.masked("Paper Times is down", residue.names_of("https://www.paper-times.example/a")) == "@name @name is down"
+    assert residue.names_of(None) == () == residue.names_of("no url")

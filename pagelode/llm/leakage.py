@@ -1,15 +1,15 @@
 """Evaluation passages inside training text (problem 8) by pigeonhole edit matching.
 
-A leak is a run of ``RUN`` words of a passage.  Each passage is cut into consecutive pieces of
-``PIECE`` = (RUN + 1) // 2 words: any RUN consecutive words hold a whole piece, and with the error
-budget ``RUN - PIECE`` split over the words around it, a leaked run shows at least one piece without
-any error.  Documents are scanned for exact piece hits (rolling hashes of their word windows against
-the pieces' hashes); each hit is verified by Myers' bit-parallel edit distance between the passage
-words around the piece and the document words around the hit, within the budget; what passes is
-compared word by word, and counts if RUN words in a row agree.
+A leak is a run of ``RUN`` words of a passage that a document holds with at most ``budget`` word edits
+(insertions, deletions, replacements); ``found`` asks for none, ``edited`` for up to ``EDITS`` and reports how many.
+Each passage is cut into consecutive pieces so short (``piece_width``) that any RUN words in a row hold budget+1
+whole pieces: with no more errors than budget, at least one of them is in the document without any.
+Documents are scanned for exact piece hits (rolling hashes of their word windows against the pieces'
+hashes); each hit is verified by Myers' bit-parallel edit distance between every RUN-word window of the passage
+around the piece and the document's words around the hit.  That distance decides; nothing else does.
 
-The passages are a small fixed set; their number of words is checked against ``MAX_ITEM_WORDS`` before
-they are sent to the tasks, and a larger set is split into blocks that are each scanned for.
+The passages are sent to the tasks; a set of more than ``MAX_ITEM_WORDS`` words is scanned for in blocks of that
+size, one after another, each block's hits being written before the next is read.
 
 Defined results: mark-up tags become blanks in both; NULL or blank texts and passages shorter than RUN
 words leak nothing; repeated rows count once; whole texts are scanned; extra columns are ignored.
@@ -25,11 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load, spread
+from ..session import load, scratch, spread
 from .near_duplicates import WordHashes
 
-RUN = 12
-PIECE = (RUN + 1) // 2
+RUN, EDITS = 12, 2
 MAX_ITEM_WORDS = 2_000_000
 _TAG = re.compile(r"<[^>]*>")
 _WORDS = re.compile(r"\w+")
@@ -77,30 +76,36 @@ def myers_distance(pattern: list, text: list) -> int:
     return best
 
 
+def piece_width(run: int, budget: int) -> int:
+    """The longest pieces of which any run words in a row of the passage hold budget+1 whole ones."""
+    return max(p for p in range(1, run + 1) if (run - p + 1) // p >= budget + 1)
+
+
 class Passages:
     """The items' words, and a sorted array of piece hashes with where each piece lies."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], run: int = RUN, budget: int = 0) -> None:
         known = WordHashes()
+        self.run, self.budget, self.piece = run, budget, piece_width(run, budget)
         self.words: list[tuple[int, list[str]]] = []
         hashes, where = [], []
         for item_id, passage in items:
             words = words_of(passage or "")
-            if len(words) < RUN:
+            if len(words) < run:
                 continue
             at = len(self.words)
             self.words.append((item_id, words))
-            h = window_hashes(np.array([known[w] for w in words], np.uint64), PIECE)
-            for start in range(0, len(words) - PIECE + 1, PIECE):
+            h = window_hashes(np.array([known[w] for w in words], np.uint64), self.piece)
+            for start in range(0, len(words) - self.piece + 1, self.piece):
                 hashes.append(h[start])
                 where.append((at, start))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
         self.where = [where[i] for i in order]
 
-    def leaked(self, words: list[str], hashes: np.ndarray) -> set[int]:
-        """Ids of the items of which RUN words in a row occur in words."""
-        found: set[int] = set()
+    def leaked(self, words: list[str], hashes: np.ndarray) -> dict[int, int]:
+        """item -> least number of errors with which words hold a run of it, within the budget."""
+        found: dict[int, int] = {}
         if not len(self.hashes) or not len(hashes):
             return found
         at = np.searchsorted(self.hashes, hashes)
@@ -111,30 +116,27 @@ class Passages:
                 item, start = self.where[k]
                 k += 1
                 item_id, passage = self.words[item]
-                if item_id not in found and self._verified(passage, start, words, j):
-                    found.add(item_id)
+                if found.get(item_id, 1):
+                    errors = self._errors(passage, start, words, j)
+                    if errors <= self.budget and errors < found.get(item_id, errors + 1):
+                        found[item_id] = errors
         return found
 
-    @staticmethod
-    def _verified(passage: list[str], start: int, words: list[str], j: int) -> bool:
-        slack = RUN - PIECE
-        left, right = max(0, start - slack), min(len(passage), start + PIECE + slack)
-        context = words[max(0, j - slack) : j + PIECE + slack]
-        if myers_distance(passage[left:right], context) > slack + max(0, right - left - RUN):
-            return False
-        if passage[start : start + PIECE] != words[j : j + PIECE]:
-            return False
-        before = after = 0
-        while before < start and before < j and passage[start - 1 - before] == words[j - 1 - before]:
-            before += 1
-        p, w = start + PIECE, j + PIECE
-        while p + after < len(passage) and w + after < len(words) and passage[p + after] == words[w + after]:
-            after += 1
-        return before + PIECE + after >= RUN
-
-
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id): every document with every item it leaks."""
+    def _errors(self, passage: list[str], start: int, words: list[str], j: int) -> int:
+        """Least distance of a run of the passage around the piece at start from the words around j."""
+        best = self.budget + 1
+        for s in range(max(0, start + self.piece - self.run), min(start, len(passage) - self.run) + 1):
+            first = j - (start - s)
+            context = words[max(0, first - self.budget) : first + self.run + self.budget]
+            if len(context) >= self.run - self.budget:
+                best = min(best, myers_distance(passage[s : s + self.run], context))
+                if best == 0:
+                    break
+        return best
+
+
+def leaks(documents: DataFrame, items: DataFrame, budget: int = 0) -> DataFrame:
+    """(doc_id, item_id, errors): every document with every item it leaks within the budget, and the least errors."""
     spark = documents.sparkSession
     held = items.select(F.col("item_id").cast("bigint"), F.col("passage").cast("string")).where("item_id is not null and length(passage) > 0").dropDuplicates(["item_id"])
     n_words = held.agg(F.coalesce(F.sum(F.size(F.split("passage", r"\s+"))), F.lit(0))).first()[0]
@@ -142,31 +144,39 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = spread(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("doc_id is not null and length(trim(text)) > 0"))
     out = None
     for b in range(blocks):
-        rows = held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect() if blocks > 1 else held.collect()  # within MAX_ITEM_WORDS
+        rows = (held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else held).collect()  # about MAX_ITEM_WORDS words
         shared = spark.sparkContext.broadcast([(r.item_id, r.passage) for r in rows])
-        part = docs.mapInArrow(_scan(shared), "doc_id bigint, item_id bigint")
+        part = docs.mapInArrow(_scan(shared, budget), "doc_id bigint, item_id bigint, errors int")
+        if blocks > 1:
+            part = scratch(part, "leaks")
+            shared.unpersist()
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.groupBy("doc_id", "item_id").agg(F.min("errors").alias("errors"))
 
 
-def _scan(shared):
+def _scan(shared, budget: int):
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, known = Passages(shared.value), WordHashes()
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
+        passages, known = Passages(shared.value, RUN, budget), WordHashes()
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("errors", pa.int32())])
         for batch in source:
-            docs, items = [], []
+            cols: list[list] = [[], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = words_of(text.as_py())
-                for item_id in passages.leaked(words, window_hashes(np.array([known[w] for w in words], np.uint64), PIECE)):
-                    docs.append(doc_id)
-                    items.append(item_id)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], schema=schema)
+                for item_id, errors in passages.leaked(words, window_hashes(np.array([known[w] for w in words], np.uint64), passages.piece)).items():
+                    for col, x in zip(cols, (doc_id, item_id, errors), strict=True):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return batches
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, errors): leaks with up to EDITS word edits in a run; those of no error are ``found``."""
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), EDITS)
 
 
 def per_item(spark: SparkSession, sf_dir: str) -> DataFrame:

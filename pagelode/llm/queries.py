@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": encoding_repair.found,
         "p7_restored": encoding_repair.restored,
         "p8_found": leakage.found,
+        "p8_edited": leakage.edited,
         "p8_per_item": leakage.per_item,
         "p9_mix": mixing.taken,
         "p9_shares": mixing.shares,

@@ -68,10 +68,59 @@ def test_leaks(spark):
     texts = {i: "Intro " + " ".join(item[s : s + 12]) + " end" for i, s in enumerate(range(19))}
     texts |= {100: " ".join(item[3:14]), 101: "<b>" + "</b>, <i>".join(item[5:17]).upper(), 102: " ".join(item[:6]) + " x " + " ".join(item[6:14]), 103: "long " * 50_000 + " ".join(item), 104: None, 105: "", 106: " "}
     docs = spark.createDataFrame([*texts.items(), (0, texts[0])], "doc_id bigint, text string")
-    assert rows(leakage.leaks(docs, items)) == [(i, 1) for i in sorted({*range(19), 101, 103})]
+    assert rows(leakage.leaks(docs, items)) == [(i, 1, 0) for i in sorted({*range(19), 101, 103})]
     assert rows(leakage.leaks(docs.limit(0), items)) == [] and rows(leakage.leaks(docs, items.limit(0))) == []
 
 
+def test_piece_width():
+    for run in (6, 12, 13, 24):
+        for budget in range(4):
+            if run >= budget + 1:
+                p = leakage.piece_width(run, budget)
+                # any run of words, wherever it starts, holds budget+1 pieces of the grid
+                assert min(sum(1 for k in range(0, 200, p) if s <= k and k + p <= s + run) for s in range(60)) >= budget + 1
+
+
+def test_edited_leaks(spark, monkeypatch):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(25)]
+    passages = {i: [rng.choice(vocab) for _ in range(rng.randint(10, 20))] for i in range(12)}
+    docs = {}
+    for d in range(120):
+        words = list(passages[rng.randrange(12)])
+        cut = rng.randint(0, 3)
+        words = words[cut : cut + rng.randint(9, 16)]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(words))
+            words[k : k + rng.randint(0, 1)] = [rng.choice([*vocab, "new"])] * rng.randint(0, 1)
+        docs[d] = ["x"] * rng.randint(0, 3) + words + ["y"] * rng.randint(0, 3)
+    want = {}
+    for d, words in docs.items():
+        for i, p in passages.items():
+            for s in range(len(p) - leakage.RUN + 1):
+                e = edit(p[s : s + leakage.RUN], words)
+                if e <= leakage.EDITS:
+                    want[d, i] = min(e, want.get((d, i), e))
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in passages.items()], "item_id bigint, passage string")
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.errors for r in leakage.leaks(frame, items, leakage.EDITS).collect()}
+    assert got == want and {0, 1, 2} == set(want.values())
+    exact = {(r.doc_id, r.item_id) for r in leakage.leaks(frame, items).collect()}
+    assert exact == {k for k, e in want.items() if e == 0}
+    monkeypatch.setattr(leakage, "MAX_ITEM_WORDS", 40)  # in blocks
+    assert {(r.doc_id, r.item_id): r.errors for r in leakage.leaks(frame, items, leakage.EDITS).collect()} == want
+
+
+def test_distance_decides(monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    near = words[:6] + ["x"] + words[6:30]  # a whole piece, but no run of twelve before the change
+    passages = leakage.Passages([(1, " ".join(words[:14]))])
+    hashes = leakage.window_hashes(np.array([leakage.WordHashes()[w] for w in near], np.uint64), passages.piece)
+    assert passages.leaked(near, hashes) == {}
+    monkeypatch.setattr(leakage, "myers_distance", lambda pattern, text: 0)
+    assert passages.leaked(near, hashes) == {1: 0}
+
+
 # -- mixing --------------------------------------------------------------------------------------
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), min_size=1, max_size=6), st.integers(0, 600))
@@ -150,3 +199,40 @@ def test_forms_at_limits(spark):
     flagged, _ = truncation.cut_documents(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
     assert {r.kind for r in flagged.where("doc_id >= 1000 and kind <> 'running'").collect()} == {"form"}
     assert {r.doc_id for r in flagged.where("cut").collect()} == {*range(1000, 1060), *range(3000, 3060)}
+
+
+def test_scripts_beyond_the_west():
+    model = E.ChainModel.fit(CLEAN)
+    read = lambda *pairs: tuple(pairs)
+    for good in ("Привет мир", "Ещё одна съёмка в порту", "Η πόλη της Αθήνας", "Zażółć gęślą jaźń", "Łódź – Święto", "東京の新聞", "한국어 신문", "LE COMITÉ SCOLAIRE A SALUÉ", "LA JUNTA ESCOLAR DUPLICÓ UN PLAN"):
+        assert E.judge(good, model) is None, good
+    cases = [
+        ("Привет мир", read(("utf-8", "cp1252"))), ("Привет мир", read(("utf-8", "latin-1"))), ("Привет мир", read(("cp1251", "cp1252"))), ("Η πόλη της Αθήνας", read(("utf-8", "cp1252"))),
+        ("Η πόλη της Αθήνας", read(("cp1253", "cp1252"))), ("Zażółć gęślą jaźń", read(("utf-8", "cp1252"))), ("東京の新聞", read(("utf-8", "latin-1"))), ("東京の新聞", read(("shift_jis", "cp1252"))),
+    ]
+    for text, chain in cases:
+        assert E.judge(E.garble(text, chain), model)[1] == text, (text, chain)
+    # rounds upon rounds
+    deep = "Für die Bücherei – “Größe”"
+    for _ in range(5):
+        deep = E.garble(deep, (("utf-8", "cp1252"),))
+    assert E.judge(deep, model)[1] == "Für die Bücherei – “Größe”"
+
+
+def test_classifier_decides():
+    model = E.ChainModel.fit(CLEAN)
+    bad = ["FÃ¼r die BÃ¼cherei", "cafÃ© â€“ x", "Das Museumscafй prьfte", "Привет"]
+    assert [E.judge(b, model) is not None for b in bad] == [True, True, True, False]
+    blank = E.ChainModel(np.zeros_like(model.log_p))
+    assert [E.judge(b, blank) for b in bad] == [None] * 4
+
+
+def test_limits_decide(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, "w" * (rng.randint(60, 400) - 1) + ".", "a") for i in range(800)] + [(1000 + i, ("two words " * 30)[:199] + "x", "a") for i in range(60)]
+    docs += [(2000 + i, "w" * (90 + 3 * i) + " two w", "b") for i in range(60)]  # the same endings at no limit
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows_, _ = truncation.cut_documents(df)
+    assert {r.doc_id for r in rows_.where("cut").collect()} == set(range(1000, 1060)) and {r.by for r in rows_.where("cut").collect()} == {"limit"}
+    monkeypatch.setattr(truncation, "FDR", 0.0)  # no length is significant
+    assert {r.by for r in truncation.cut_documents(df)[0].where("cut").collect()} <= {"ending"}

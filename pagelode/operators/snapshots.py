@@ -1,13 +1,15 @@
 """What changed between consecutive full snapshots (problem 5).
 
-Pages are normalised to (snapshot, url, status, digest of the recommendation set).  Rows of a snapshot
-and rows of the one before, re-keyed to the later one, are subtracted from each other with EXCEPT ALL
-both ways; the residues are full-joined by key and labelled.
+Pages are normalised to (site, url, number of the snapshot, digest of status and recommendation set) and moved once, by site
+and url; all that follows is done where they lie.  Every state counts for its own snapshot and against the next one, so
+that the sum of the signs per (site, url, snapshot, state) is EXCEPT ALL both ways: identical rows cancel, what is
+left over is new or old.  The residues of both sides are then put together by key, a full join on (site, url, snapshot)
+that needs no exchange, and labelled.  Only residues are given their snapshot's id.
 
 Defined results: a snapshot without pages (NULL) is passed over, an empty list is a state; redelivered
 snapshots count once; of a url listed repeatedly the last entry holds; entries that are NULL or have no
 url are passed over; NULL status is a value; NULL and empty recommendation lists are alike; ties in time
-are ordered by id; extra columns are ignored.
+are ordered by id; snapshots without a site are a site of their own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import load, scratch
+from ..session import load, scratch, small
 
 
 def following(heads: DataFrame, group: str, at: str, key: str, unit: str = "month") -> DataFrame:
@@ -33,37 +35,55 @@ def following(heads: DataFrame, group: str, at: str, key: str, unit: str = "mont
     return joined.select(key, F.coalesce("_next", "_after").alias("next_key")).where("next_key is not null")
 
 
-def page_states(snapshots: DataFrame) -> DataFrame:
-    """(snapshot_id, url, status, recs): one row per snapshot and url; recs is a digest of the set of (priority, area, message)."""
-    recs = "array_sort(array_distinct(transform(filter(coalesce(p.recommendations, array()), r -> r is not null), r -> to_json(struct(r.priority, r.area, r.message), map('ignoreNullFields', 'false')))))"
-    rows = snapshots.where("pages is not null").select(F.col("id").alias("snapshot_id"), F.posexplode("pages").alias("pos", "p")).where("p is not null and p.url is not null")
-    rows = rows.select("snapshot_id", "pos", F.col("p.url").alias("url"), F.struct(F.col("p.status").alias("status"), F.expr(f"unhex(md5(nullif(concat_ws('\\n', {recs}), '')))").alias("recs")).alias("state"))
-    last = rows.groupBy("snapshot_id", "url").agg(F.max_by("state", "pos").alias("state"))
-    return last.select("snapshot_id", "url", "state.status", "state.recs")
+def numbered(heads: DataFrame, group: str, at: str, key: str, unit: str = "month") -> DataFrame:
+    """group, key, no, is_last: each row's number in its group in the order (at, key), from 1, and whether it is the last.
+
+    Numbered within calendar buckets first, the buckets' counts added up second, so that a group
+    that holds a large part of all rows is never sorted in one task.
+    """
+    rows = heads.select(group, at, key).withColumn("_bucket", F.coalesce(F.date_trunc(unit, F.col(at)), F.timestamp_micros(F.lit(0))))
+    inner = Window.partitionBy(group, "_bucket").orderBy(at, key)
+    counts = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    along = Window.partitionBy(group)
+    counts = counts.withColumn("_before", F.sum("_n").over(along.orderBy("_bucket")) - F.col("_n")).withColumn("_all", F.sum("_n").over(along)).drop("_n")
+    no = F.col("_before") + F.col("_rn")
+    return rows.withColumn("_rn", F.row_number().over(inner)).join(counts, [group, "_bucket"]).select(group, key, no.alias("no"), (no == F.col("_all")).alias("is_last"))
+
 
+def page_states(snapshots: DataFrame, places: DataFrame) -> DataFrame:
+    """(site, url, no, is_last, state): one row per snapshot and url, lying by site and url; state is a digest of status and the set of (priority, area, message).
 
-def except_all_both(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new EXCEPT ALL old, old EXCEPT ALL new), from one shuffle: rows of both are counted with opposite signs.
+    places: (site, id, no, is_last) of the snapshots."""
+    recs = "array_sort(array_distinct(transform(filter(coalesce(p.recommendations, array()), r -> r is not null), r -> to_json(struct(r.priority, r.area, r.message), map('ignoreNullFields', 'false')))))"
+    rows = snapshots.where("pages is not null").select("id", "pages").join(small(places.select("id", "site", "no", "is_last")), "id")
+    rows = rows.select("site", "no", "is_last", F.posexplode("pages").alias("pos", "p")).where("p is not null and p.url is not null")
+    # a status is written after its length, so that no status and list look like another pair
+    state = F.expr(f"unhex(md5(concat(coalesce(concat(length(p.status), ':', p.status), '-'), concat_ws('\n', {recs}))))")
+    rows = rows.select("site", F.col("p.url").alias("url"), F.col("no").cast("int").alias("no"), "is_last", "pos", state.alias("state")).repartition("site", "url")
+    return rows.groupBy("site", "url", "no", "is_last").agg(F.max_by("state", "pos").alias("state"))
 
-    Residue rows come once each, whatever their surplus."""
-    cols = new.columns
-    signed = new.withColumn("_sign", F.lit(1)).unionByName(old.withColumn("_sign", F.lit(-1)))
-    left = scratch(signed.groupBy(*cols).agg(F.sum("_sign").alias("_surplus")).where("_surplus <> 0"), "residue")
-    return left.where("_surplus > 0").select(*cols), left.where("_surplus < 0").select(*cols)
+
+def last_statuses(snapshots: DataFrame) -> DataFrame:
+    """(snapshot_id, url, status): the last entry of each url of each snapshot."""
+    rows = snapshots.where("pages is not null").select(F.col("id").alias("snapshot_id"), F.posexplode("pages").alias("pos", "p")).where("p is not null and p.url is not null")
+    return rows.groupBy("snapshot_id", F.col("p.url").alias("url")).agg(F.max_by("p.status", "pos").alias("status"))
 
 
 def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     """(snapshot_id, url, change_kind): pages added, removed or changed from each snapshot of a site to the next."""
-    heads = snapshots.where("pages is not null").select("id", "site_id", "snapshot_at").distinct()
-    later = following(heads, "site_id", "snapshot_at", "id")
-    states = scratch(page_states(snapshots), "states")
-    new = states.join(later.select(F.col("next_key").alias("snapshot_id")), "snapshot_id", "left_semi")
-    old = states.join(later.select(F.col("id").alias("snapshot_id"), "next_key"), "snapshot_id").select(F.col("next_key").alias("snapshot_id"), "url", "status", "recs")
-    added, dropped = except_all_both(new, old)
-    only_new = added.select("snapshot_id", "url", F.lit(True).alias("is_new"))
-    only_old = dropped.select("snapshot_id", "url", F.lit(True).alias("is_old"))
+    site = F.when(F.col("site_id").isNull(), "").otherwise(F.concat(F.lit("="), F.col("site_id").cast("string")))
+    taken = snapshots.select(F.col("id").cast("string").alias("id"), site.alias("site"), "snapshot_at", "pages")
+    heads = taken.where("pages is not null").groupBy("id").agg(F.min_by(F.struct("site", "snapshot_at"), F.struct("snapshot_at", "site")).alias("h")).select("id", "h.*")
+    places = scratch(numbered(heads, "site", "snapshot_at", "id"), "places")
+    states = page_states(taken, places)
+    for_next = F.when(~F.col("is_last"), F.struct((F.col("no") + 1).alias("at"), F.lit(-1).alias("sign")))
+    own = F.when(F.col("no") > 1, F.struct(F.col("no").alias("at"), F.lit(1).alias("sign")))
+    signed = states.select("site", "url", "state", F.explode(F.array_compact(F.array(own, for_next))).alias("e")).select("site", "url", "e.at", "state", "e.sign")
+    residue = signed.groupBy("site", "url", "at", "state").agg(F.sum("sign").alias("surplus")).where("surplus <> 0")
+    both = residue.groupBy("site", "url", "at").agg(F.max(F.col("surplus") > 0).alias("is_new"), F.max(F.col("surplus") < 0).alias("is_old"))
     kind = F.when(F.col("is_new") & F.col("is_old"), "changed").when(F.col("is_new"), "added").otherwise("removed")
-    return only_new.join(only_old, ["snapshot_id", "url"], "full").select("snapshot_id", "url", kind.alias("change_kind"))
+    ids = small(places.select("site", F.col("no").alias("at"), F.col("id").alias("snapshot_id")))
+    return both.select("site", F.col("at").cast("bigint").alias("at"), "url", kind.alias("change_kind")).join(ids, ["site", "at"]).select("snapshot_id", "url", "change_kind")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,13 +173,13 @@ SELECT * FROM w WHERE run_b IS NOT NULL
 
 def page_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages improved, regressed or unchanged in status between consecutive snapshots of a site (inner join on url)."""
-    from ..operators.snapshots import following, page_states
+    from ..operators.snapshots import following, last_statuses
 
     snaps = load(spark, sf_dir, "audit_snapshots")
     heads = snaps.where("pages is not null").select("id", "site_id", "snapshot_at").distinct()
     pairs = following(heads, "site_id", "snapshot_at", "id").select(F.col("id").alias("a"), F.col("next_key").alias("b"))
     rank = F.coalesce(F.when(F.col("status") == "FAIL", 0).when(F.col("status") == "WARN", 1).when(F.col("status") == "PASS", 2), F.lit(-1))
-    states = page_states(snaps).select("snapshot_id", "url", rank.alias("rank"))
+    states = last_statuses(snaps).select("snapshot_id", "url", rank.alias("rank"))
     left = states.select(F.col("snapshot_id").alias("a"), "url", F.col("rank").alias("ra")).join(pairs, "a")
     both = left.join(states.select(F.col("snapshot_id").alias("b"), "url", F.col("rank").alias("rb")), ["b", "url"])
     move = F.when(F.col("rb") > F.col("ra"), "improved").when(F.col("rb") < F.col("ra"), "regressed").otherwise("unchanged")

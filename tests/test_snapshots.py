@@ -1,7 +1,7 @@
 from datetime import datetime
 
 from conftest import rows
-from pagelode.operators.snapshots import following, snapshot_changes
+from pagelode.operators.snapshots import following, numbered, snapshot_changes
 
 DDL = "id string, site_id string, snapshot_at timestamp, pages array<struct<url: string, page_type: string, status: string, recommendations: array<struct<priority: string, area: string, message: string>>>>, url string"
 
@@ -41,3 +41,19 @@ def test_following_across_buckets_and_ties(spark):
     heads = [("g", datetime(2024, 1, 5), "b"), ("g", datetime(2024, 1, 5), "a"), ("g", datetime(2024, 4, 1), "c"), ("g", datetime(2023, 12, 1), "z"), ("h", datetime(2024, 1, 1), "x")]
     df = spark.createDataFrame(heads, "g string, t timestamp, k string")
     assert rows(following(df, "g", "t", "k")) == [("a", "b"), ("b", "c"), ("z", "a")]
+
+
+def test_numbered(spark):
+    heads = [("g", datetime(2024, 1, 5), "b"), ("g", datetime(2024, 1, 5), "a"), ("g", datetime(2024, 4, 1), "c"), ("g", datetime(2023, 12, 1), "z"), ("h", None, "x")]
+    df = spark.createDataFrame(heads, "g string, t timestamp, k string")
+    assert rows(numbered(df, "g", "t", "k").select("g", "no", "k", "is_last")) == [("g", 1, "z", False), ("g", 2, "a", False), ("g", 3, "b", False), ("g", 4, "c", True), ("h", 1, "x", True)]
+
+
+def test_no_site_and_look_alikes(spark):
+    df = frame(
+        spark,
+        ("a1", None, 1, 1, [page("/a", "1:x"), page("/n", None)]),
+        ("a2", None, 2, 1, [page("/a", "1:x", [("-", "-", "-")]), page("/n", "")]),  # NULL and empty status differ
+        ("b1", "", 1, 1, [page("/b")]),
+    )
+    assert rows(snapshot_changes(df)) == [("a2", "/a", "changed"), ("a2", "/n", "changed")]

@@ -15,6 +15,8 @@ STYLE_SCRIPT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
 TAGS = r"<[^>]+>"
 QUOTED_HREF = r"(?i)<a[ \t\r\n\f][^>]*href[ \t\r\n\f]*=[ \t\r\n\f]*[\"']([^\"'#]*)[\"']"
 ANCHOR = r"(?is)<a(?:[ \t\r\n\f][^>]*)?>(.*?)</a>"
+CHARSET = r"(?i)<meta[^>]*charset=[\"']?([^\"' \t\r\n\f>]+)"
+HTTP_EQUIV = r"(?i)<meta[^>]*http-equiv=[\"']content-type[\"'][^>]*content=[\"'][^\"']*charset=([^\"' \t\r\n\f;]+)"
 IMG = r"(?i)<img\b[^>]*>"
 
 

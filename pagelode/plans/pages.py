@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..session import load
+from . import augmented
 
 PAGE_SQL = "(SELECT DISTINCT fetch_id, site_id, url, final_url, html FROM fetch_results WHERE html IS NOT NULL AND html <> '')"
 
@@ -49,17 +50,18 @@ def _columns() -> Iterator[tuple[str, dict[str, Column]]]:
         'noindex': F.coalesce(robots.contains('noindex'), F.lit(False)),
         'nofollow': F.coalesce(robots.contains('nofollow'), F.lit(False)),
     }
-    yield 'og_tags', {f'og_{k}': H.last_named(_html, 'meta', 'property', f'og:{k}', 'content') for k in ('title', 'description', 'image', 'type')}
+    yield 'og_tags', {f'og_{k}': H.last_named(_html, 'meta', 'property', f'og:{k}', 'content') for k in ('title', 'description', 'image', 'type', 'url')} | {f'article_{k}': H.last_named(_html, 'meta', 'property', f'article:{k}', 'content') for k in ('published_time', 'modified_time')}
     yield 'twitter_tags', {f'twitter_{k}': H.last_named(_html, 'meta', 'name', f'twitter:{k}', 'content') for k in ('card', 'title', 'image')}
     yield 'viewport_charset_lang', {
         'has_viewport': H.named(_html, 'meta', 'name', 'viewport', 'content').isNotNull(),
-        'charset': F.lower(H.attr(F.get(F.filter(H.tags(_html, 'meta'), lambda a: a.rlike('(?i)charset')), F.lit(0)), 'charset')),
+        'charset': F.nullif(F.lower(F.coalesce(F.nullif(F.regexp_extract(_html, H.CHARSET, 1), F.lit('')), F.regexp_extract(_html, H.HTTP_EQUIV, 1))), F.lit('')),
         'lang': H.attr(F.get(H.tags(_html, 'html'), F.lit(0)), 'lang'),
     }
     yield 'canonical_extract', {
         'canonical': H.named(_html, 'link', 'rel', 'canonical', 'href'),
         'amphtml': H.named(_html, 'link', 'rel', 'amphtml', 'href'),
         'has_next': F.exists(H.tags(_html, 'link'), lambda a: F.coalesce(F.lower(H.attr(a, 'rel')) == 'next', F.lit(False))),
+        'has_prev': F.exists(H.tags(_html, 'link'), lambda a: F.coalesce(F.lower(H.attr(a, 'rel')) == 'prev', F.lit(False))),
     }
     words = H.words(_html)
     yield 'word_count', {
@@ -151,17 +153,18 @@ def _texts() -> Iterator[tuple[str, dict[str, str]]]:
         'noindex': f"coalesce(contains({robots_sql}, 'noindex'), false)",
         'nofollow': f"coalesce(contains({robots_sql}, 'nofollow'), false)",
     }
-    yield 'og_tags', {f'og_{k}': H.last_named_sql('html', 'meta', 'property', f'og:{k}', 'content') for k in ('title', 'description', 'image', 'type')}
+    yield 'og_tags', {f'og_{k}': H.last_named_sql('html', 'meta', 'property', f'og:{k}', 'content') for k in ('title', 'description', 'image', 'type', 'url')} | {f'article_{k}': H.last_named_sql('html', 'meta', 'property', f'article:{k}', 'content') for k in ('published_time', 'modified_time')}
     yield 'twitter_tags', {f'twitter_{k}': H.last_named_sql('html', 'meta', 'name', f'twitter:{k}', 'content') for k in ('card', 'title', 'image')}
     yield 'viewport_charset_lang', {
         'has_viewport': f'{H.named_sql('html', 'meta', 'name', 'viewport', 'content')} IS NOT NULL',
-        'charset': f'lower({H.attr_sql('list_filter(' + H.tags_sql('html', 'meta') + ', lambda a: regexp_matches(a, ' + H.q('(?i)charset') + '))[1]', 'charset')})',
+        'charset': f"nullif(lower(coalesce(nullif(regexp_extract(html, {H.q(H.CHARSET)}, 1), ''), regexp_extract(html, {H.q(H.HTTP_EQUIV)}, 1))), '')",
         'lang': H.attr_sql(f'{H.tags_sql('html', 'html')}[1]', 'lang'),
     }
     yield 'canonical_extract', {
         'canonical': H.named_sql('html', 'link', 'rel', 'canonical', 'href'),
         'amphtml': H.named_sql('html', 'link', 'rel', 'amphtml', 'href'),
         'has_next': f"len(list_filter({H.tags_sql('html', 'link')}, lambda a: lower({H.attr_sql('a', 'rel')}) = 'next')) > 0",
+        'has_prev': f"len(list_filter({H.tags_sql('html', 'link')}, lambda a: lower({H.attr_sql('a', 'rel')}) = 'prev')) > 0",
     }
     words_sql = H.words_sql('html')
     yield 'word_count', {
@@ -216,10 +219,15 @@ def _texts() -> Iterator[tuple[str, dict[str, str]]]:
     }
 
 
+#: Queries over pages with the tags of ``augmented`` put before them, as the delivered ones have none of theirs.
+AUGMENTED = frozenset("robots_meta og_tags twitter_tags viewport_charset_lang canonical_extract canonical_match".split())
+
+
 def _query(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = dict(_columns())[name]
-        return pages(spark, sf_dir).select("fetch_id", *[c.alias(n) for n, c in cols.items()]).distinct()
+        source = augmented.pages if name in AUGMENTED else pages
+        return source(spark, sf_dir).select("fetch_id", *[c.alias(n) for n, c in cols.items()]).distinct()
 
     return query
 
@@ -241,7 +249,7 @@ SELECT fetch_id, site_id, key, first_id FROM f WHERE fetch_id > first_id
 def json_ld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id, block, type): types of the JSON-LD blocks, @graph members and lists spread; blocks that don't parse are skipped."""
     pattern = r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"
-    blocks = pages(spark, sf_dir).select("fetch_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("block", "body")).distinct()
+    blocks = augmented.pages(spark, sf_dir).select("fetch_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("block", "body")).distinct()
     parsed = blocks.select("fetch_id", "block", F.try_parse_json("body").alias("v")).where("v is not null")
     # an object, or a list of objects, or an object with @graph: read as lists by path, absent paths are NULL
     one = F.array(F.col("v"))
@@ -254,8 +262,11 @@ def json_ld_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 JSON_LD_SQL = """
 WITH b AS (SELECT DISTINCT fetch_id, unnest(range(len(x))) AS block, unnest(x) AS body FROM
-  (SELECT fetch_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS x FROM {p}))
-SELECT fetch_id, block, json_extract_string(body, '$."@type"') AS type FROM b WHERE json_valid(body) AND json_extract_string(body, '$."@type"') IS NOT NULL
+  (SELECT fetch_id, regexp_extract_all(html, '(?is)<script[^>]*type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS x FROM {a})),
+v AS (SELECT fetch_id, block, body::JSON AS j FROM b WHERE json_valid(body)),
+n AS (SELECT fetch_id, block, unnest(CASE WHEN json_type(j, '$."@graph"') = 'ARRAY' THEN json_extract(j, '$."@graph"[*]') WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [j] END) AS n FROM v),
+t AS (SELECT fetch_id, block, unnest(CASE WHEN json_type(n, '$."@type"') = 'ARRAY' THEN json_extract_string(n, '$."@type"[*]') ELSE [json_extract_string(n, '$."@type"')] END) AS type FROM n)
+SELECT fetch_id, block, type FROM t WHERE type IS NOT NULL
 """
 
 
@@ -277,8 +288,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY n DESC
 
 
 def term_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten commonest words of more than three letters of each source's texts, with their share in percent; ties by word."""
-    docs = load(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    """The ten commonest words (between blanks, of more than three characters) of each source's texts, with their share in percent; ties by word."""
+    docs = load(spark, sf_dir, "documents").select("source", F.explode(F.split(F.lower("text"), f"{H.WS}+")).alias("term")).where("length(term) > 3")
     counts = docs.groupBy("source", "term").agg(F.count("*").alias("n"))
     by = Window.partitionBy("source")
     share = F.floor(F.col("n") * 10000.0 / F.sum("n").over(by) + 0.5) / 100
@@ -287,7 +298,7 @@ def term_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TERM_SQL = """
-WITH t AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents),
+WITH t AS (SELECT source, term FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[ \\t\\r\\n\\f]+')) AS term FROM documents) WHERE length(term) > 3),
 c AS (SELECT source, term, count(*) AS n FROM t GROUP BY ALL)
 SELECT * FROM (SELECT source, term, n, floor(n * 10000.0::DOUBLE / sum(n) OVER (PARTITION BY source) + 0.5) / 100 AS pct, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 10
 """
@@ -311,10 +322,10 @@ SELECT fingerprint, count(DISTINCT url) AS n_urls, arg_min(url, (length(url), ur
 def registry() -> tuple[dict, dict[str, str]]:
     extra = {
         "duplicate_titles": (duplicate_titles, DUPLICATE_TITLES_SQL.format(t=H.title_sql("html"), p=PAGE_SQL)),
-        "json_ld_types": (json_ld_types, JSON_LD_SQL.format(p=PAGE_SQL)),
+        "json_ld_types": (json_ld_types, JSON_LD_SQL.format(a=augmented.SQL)),
         "anchor_texts": (anchor_texts, ANCHOR_SQL.format(p=PAGE_SQL, pattern=H.q(H.ANCHOR), text=H.trimmed_sql(f"regexp_replace(a, {H.q(H.TAGS)}, '', 'g')"))),
         "term_density": (term_density, TERM_SQL),
         "fingerprint_clusters": (fingerprint_clusters, FINGERPRINT_SQL.format(v=H.visible_sql("html"), p=PAGE_SQL)),
     }
-    texts = {n: "SELECT DISTINCT fetch_id, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + f" FROM {PAGE_SQL}" for n, cols in _texts()}
+    texts = {n: "SELECT DISTINCT fetch_id, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + f" FROM {augmented.SQL if n in AUGMENTED else PAGE_SQL}" for n, cols in _texts()}
     return {n: _query(n) for n in texts} | {n: f for n, (f, _) in extra.items()}, texts | {n: s for n, (_, s) in extra.items()}

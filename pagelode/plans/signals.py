@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators.shredding import SIGNALS, TYPES, shred, signal_rows, type_rows
 from ..session import load, scratch
+from . import augmented
 
 
 def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ WHERE n IS NOT NULL GROUP BY base
 
 def microdata_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types named by itemtype and typeof attributes, schema prefixes stripped."""
-    from .pages import pages
+    from .augmented import pages
 
     found = F.concat(F.regexp_extract_all("html", F.lit(r"(?i)itemtype=[\"'](?:https?://schema\.org/)?([^\"']+)[\"']"), F.lit(1)), F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r"(?i)typeof=[\"']([^\"']+)[\"']"), F.lit(1)), lambda t: F.split(t, "[ \t\r\n\f]+"))))
     return pages(spark, sf_dir).select("fetch_id", F.explode(F.transform(found, lambda t: F.regexp_replace(t, "^schema:", ""))).alias("type")).where("type <> ''").distinct()
@@ -108,7 +109,7 @@ def microdata_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MICRODATA_SQL = r"""
 SELECT DISTINCT fetch_id, regexp_replace(t, '^schema:', '') AS type FROM (SELECT fetch_id, unnest(list_concat(regexp_extract_all(html, '(?i)itemtype=["''](?:https?://schema\.org/)?([^"'']+)["'']', 1),
-  flatten(list_transform(regexp_extract_all(html, '(?i)typeof=["'']([^"'']+)["'']', 1), lambda x: regexp_split_to_array(x, '[ \t\r\n\f]+'))))) AS t FROM fetch_results WHERE html IS NOT NULL AND html <> '') WHERE t <> ''
+  flatten(list_transform(regexp_extract_all(html, '(?i)typeof=["'']([^"'']+)["'']', 1), lambda x: regexp_split_to_array(x, '[ \t\r\n\f]+'))))) AS t FROM {a}) WHERE t <> ''
 """
 
 
@@ -147,7 +148,7 @@ SELECT site_id, language, n, floor(n * 1000.0::DOUBLE / sum(n) OVER (PARTITION B
 def registry() -> tuple[dict, dict[str, str]]:
     pairs = {
         "title_repetition": (title_repetition, TITLE_REPETITION_SQL), "hreflang_pairs": (hreflang_pairs, HREFLANG_SQL), "page_kinds": (page_kinds, PAGE_KINDS_SQL), "paging_loops": (paging_loops, PAGING_SQL),
-        "microdata_types": (microdata_types, MICRODATA_SQL), "date_values": (date_values, DATE_VALUES_SQL), "languages": (languages, LANGUAGES_SQL),
+        "microdata_types": (microdata_types, MICRODATA_SQL.format(a=augmented.SQL)), "date_values": (date_values, DATE_VALUES_SQL), "languages": (languages, LANGUAGES_SQL),
     }
     queries = {n: f for n, (f, _) in pairs.items()} | {"weighted_scores": weighted_scores, "type_counts": type_counts, "signal_quantiles": signal_quantiles}
     return queries, {n: s for n, (_, s) in pairs.items()}

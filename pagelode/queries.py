@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import graph, shredding, sitefiles, snapshots
-from .plans import fetch_log, history, pages, signals
+from .plans import checks, fetch_log, history, pages, signals
 from .sources import tables
 from .streaming import windows
 
-_PLANS = (pages, history, fetch_log, signals, graph, sitefiles, tables, windows)
+_PLANS = (pages, checks, history, fetch_log, signals, graph, sitefiles, tables, windows)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -32,6 +32,7 @@ TAGS: tuple[tuple[int, dict[int, str]], ...] = (
         8: _LD.format('{"@type": "TechArticle", "headline": "H", "dateModified": "2023-01-05", "datePublished": "2023-02-01", "author": [{"name": "C"}, "D"]}'),
         9: '<meta name="date" content="2024-01-15"><time datetime="2023-12-24T18:00:00Z">x</time>',
     }),
+    (10, {0: '<link rel="sitemap" href="/maps/s.xml"><a href="/sitemap.html">Our sitemap</a>', 1: '<link href="https://e.example/feed.xml" type="application/rss+xml"><link type="application/atom+xml" href="atom">', 2: '<a class=x href="/all-sitemap-pages">All</a><a href="/list.xml">the sitemap</a>', 3: '<p style="font-size: 12px; touch-action: none">small</p><img src=a.png><img src=b.png alt="b">', 4: '<p style="font-size:16px">large</p><img loading="lazy" src=c.png>'}),
     (13, {0: "<script>window._cf_chl_opt = 1</script>", 1: "<title>Just a moment...</title>", 2: '<script src="/cdn-cgi/challenge-platform/x.js"></script>', 3: "<i>_abck=1; ak_bmsc=2</i>", 4: "<i>_abck=1</i>", 5: "<!-- Incapsula incident ID: 1 -->", 6: '<script src="https://tag.captcha-delivery.com/c.js"></script>', 7: "<i>_pxAppId = 1</i>", 8: "<i>aws-waf-token</i>", 9: '<title> Verify you are human </title><i>hcaptcha.com/1/api.js</i>', 10: "<title>How to verify you are human in forms</title>"}),
 )
 

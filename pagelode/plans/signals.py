@@ -83,22 +83,6 @@ FROM (SELECT id, any_value(url) AS url, any_value(page_type) AS page_type FROM a
 """
 
 
-def paging_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bases whose addresses differ in a page number, with how many numbers occur and the highest."""
-    number = F.coalesce(F.nullif(F.regexp_extract("url", r"(?i)[?&](?:page|p)=([0-9]+)", 1), F.lit("")), F.nullif(F.regexp_extract("url", r"(?i)/page/([0-9]+)", 1), F.lit("")))
-    base = F.regexp_replace(F.regexp_replace("url", r"(?i)[?&](?:page|p)=[0-9]+", ""), r"(?i)/page/[0-9]+/?", "/")
-    urls = load(spark, sf_dir, "audit_results").select("url").where("url is not null").distinct()
-    rows = urls.select(base.alias("base"), number.cast("bigint").alias("number")).where("number is not null")
-    return rows.groupBy("base").agg(F.count_distinct("number").alias("n_pages"), F.max("number").alias("highest"))
-
-
-PAGING_SQL = r"""
-SELECT base, count(DISTINCT n) AS n_pages, max(n) AS highest FROM (SELECT regexp_replace(regexp_replace(url, '(?i)[?&](?:page|p)=[0-9]+', '', 'g'), '(?i)/page/[0-9]+/?', '/', 'g') AS base,
-  CAST(coalesce(nullif(regexp_extract(url, '(?i)[?&](?:page|p)=([0-9]+)', 1), ''), nullif(regexp_extract(url, '(?i)/page/([0-9]+)', 1), '')) AS BIGINT) AS n FROM (SELECT DISTINCT url FROM audit_results WHERE url IS NOT NULL))
-WHERE n IS NOT NULL GROUP BY base
-"""
-
-
 def microdata_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types named by itemtype and typeof attributes, schema prefixes stripped."""
     from .augmented import pages
@@ -147,7 +131,7 @@ SELECT site_id, language, n, floor(n * 1000.0::DOUBLE / sum(n) OVER (PARTITION B
 
 def registry() -> tuple[dict, dict[str, str]]:
     pairs = {
-        "title_repetition": (title_repetition, TITLE_REPETITION_SQL), "hreflang_pairs": (hreflang_pairs, HREFLANG_SQL), "page_kinds": (page_kinds, PAGE_KINDS_SQL), "paging_loops": (paging_loops, PAGING_SQL),
+        "title_repetition": (title_repetition, TITLE_REPETITION_SQL), "hreflang_pairs": (hreflang_pairs, HREFLANG_SQL), "page_kinds": (page_kinds, PAGE_KINDS_SQL), 
         "microdata_types": (microdata_types, MICRODATA_SQL.format(a=augmented.SQL)), "date_values": (date_values, DATE_VALUES_SQL), "languages": (languages, LANGUAGES_SQL),
     }
     queries = {n: f for n, (f, _) in pairs.items()} | {"weighted_scores": weighted_scores, "type_counts": type_counts, "signal_quantiles": signal_quantiles}

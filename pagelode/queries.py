@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import graph, shredding, sitefiles, sitemaps, snapshots
-from .plans import checks, fetch_log, history, pages, report, signals
+from .plans import checks, fetch_log, history, pages, report, runs, signals
 from .sources import tables
 from .streaming import windows
 
-_PLANS = (pages, checks, report, history, fetch_log, signals, graph, sitefiles, sitemaps, tables, windows)
+_PLANS = (pages, checks, report, runs, history, fetch_log, signals, graph, sitefiles, sitemaps, tables, windows)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

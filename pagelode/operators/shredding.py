@@ -142,6 +142,7 @@ def positions(members: DataFrame) -> DataFrame:
 
 
 SIGNALS, TYPES = "layeredscore.signals", "structureddata.typesfound"
+TYPES_WANTED = (TYPES + "[].name", TYPES + "[].type", TYPES + ".*")
 
 
 def _depth(path: Column) -> Column:
@@ -165,7 +166,7 @@ def type_rows(nodes: DataFrame) -> DataFrame:
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = (SIGNALS + "[].id", SIGNALS + ".*", TYPES + "[].name", TYPES + "[].type", TYPES + ".*")
+    wanted = (SIGNALS + "[].id", SIGNALS + ".*", *TYPES_WANTED)
     nodes = scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", wanted), "nodes")  # read four times below
     row = lambda df, kind: df.select(F.col("id").alias("result_id"), F.lit(kind).alias("child_kind"), "child_pos", F.col("name").alias("child_name"))
     return row(signal_rows(nodes), "signal").unionByName(row(type_rows(nodes), "type"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators.shredding import SIGNALS, TYPES, shred, signal_rows, type_rows
+from ..operators.shredding import SIGNALS, TYPES_WANTED, shred, signal_rows, type_rows
 from ..session import load, scratch
 from . import augmented
 
@@ -21,7 +21,7 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each type was found, and in how many results."""
-    rows = type_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (TYPES + "[].name", TYPES + ".*")), "nodes"))
+    rows = type_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", TYPES_WANTED), "nodes"))
     return rows.groupBy(F.col("name").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("id").alias("n_results"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -44,9 +45,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (tests, one machine) one is made and set."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset on one machine (tests) one is made and set.  On a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set: on {master} it must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="pagelode-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -55,7 +59,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, and
-    keeps the columns separately readable."""
+    keeps the columns separately readable.  ``forget`` deletes what was written."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/pagelode/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
@@ -63,15 +67,25 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete all scratch tables of this process, on whatever file system they are; results that read them must have been used.  How many were deleted."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 @atexit.register
 def _clean() -> None:
-    import shutil
-
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            forget(spark)
+    except Exception:  # the session is gone: files of this machine can still be deleted
+        pass
     for at in _MADE:
-        if at.startswith("file:"):
-            shutil.rmtree(at.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-        elif os.path.isdir(at):
-            shutil.rmtree(at, ignore_errors=True)
+        shutil.rmtree(at.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:

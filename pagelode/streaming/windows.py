@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..session import shared_dir
 
@@ -30,25 +31,28 @@ def first_seen(stream: DataFrame, at: str, *keys: str, late: str = "1 hour") ->
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there into a table in the shared folder and return the table."""
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there into a table in the shared folder and return the table, with the number of the batch each row came with.
+
+    In ``update`` mode a row replaces those of its key from earlier batches; state behind the watermark is dropped in either mode."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/pagelode/stream-{name}-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         # a batch's number names its folder: a batch run twice replaces itself
-        batch.write.mode("overwrite").parquet(f"{base}/out/{'all' if mode == 'complete' else number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/{number}")
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(sink).start()
     query.awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.option("recursiveFileLookup", "true").schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{base}/out")
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour and type.  Open windows are given as they stand (update mode), so none is held back for a watermark that no later event moves."""
     events = source(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = window_counts(events, "ts", "event_type", "value")
-    rows = drain(counts, "hourly")
-    return rows.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.col("total").cast("double").alias("total"))
+    rows = drain(window_counts(events, "ts", "event_type", "value"), "hourly", "update")
+    last = rows.groupBy("w", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("r"))
+    return last.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "r.n", F.col("r.total").cast("double").alias("total"))
 
 
 HOURLY_SQL = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(20,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2"

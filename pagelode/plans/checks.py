@@ -16,14 +16,18 @@ _DENIED = ("access_denied", "waf_challenge")
 
 
 def page_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states(load(spark, sf_dir, "fetch_results"), attempts(spark, sf_dir))
+
+
+def states(fetches: DataFrame, tried: DataFrame) -> DataFrame:
     """Per fetch: the effective status (0 or missing and nothing succeeded: 403 if any attempt was denied or gated, else the last attempt's), the
     page's state, and whether its html can be checked.  States are tried in order: content, gate, not found, server error, unreadable, blocked, failed."""
-    per = attempts(spark, sf_dir).groupBy("fetch_id").agg(
+    per = tried.groupBy("fetch_id").agg(
         F.count_if("ok").alias("n_ok"), F.count("*").alias("n"), F.count_if(F.col("failure_kind").isin(*_DENIED)).alias("n_denied"), F.count_if(F.col("failure_kind") == "not_found").alias("n_missing"),
         F.bool_or(F.coalesce(F.col("cf_challenge"), F.lit(False)) | (F.col("failure_kind") == "waf_challenge")).alias("gated"), F.bool_or(F.coalesce(F.col("failure_kind") == "parser_failure", F.lit(False))).alias("unreadable"),
         F.max_by("status", F.struct("attempt_no", "attempt_id")).alias("last_status"),
     )
-    rows = load(spark, sf_dir, "fetch_results").select("fetch_id", "fetch_ok", "http_status", F.coalesce("html", F.lit("")).rlike("(?i)<!doctype|<html|<head|<body").alias("markup")).distinct()
+    rows = fetches.select("fetch_id", "fetch_ok", "http_status", F.coalesce("html", F.lit("")).rlike("(?i)<!doctype|<html|<head|<body").alias("markup")).distinct()
     ok = F.coalesce("fetch_ok", F.lit(False))
     status = F.when(~ok & (F.coalesce("http_status", F.lit(0)) == 0) & F.col("n").isNotNull(), F.when(F.col("n_denied") > 0, 403).otherwise(F.coalesce("last_status", F.lit(0)))).otherwise(F.coalesce("http_status", F.lit(0)))
     sure = F.col("n").isNotNull() & (F.col("n_ok") == 0) & ((F.col("n_missing") > 0) | (F.col("n_denied") == F.col("n")) | (F.col("n_denied") >= 2))

@@ -177,3 +177,40 @@ def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes")
     rows = signal_rows(nodes)
     return rows.select(F.col("id").alias("result_id"), "child_pos", F.col("name").alias("signal"), "category", F.expr("try_cast(score as double)").alias("score"), F.expr("try_cast(weight as double)").alias("weight"), "availability")
+
+
+#: The nodes on the way to signals and types of every readable document, once each, with folded paths: for DuckDB, whose json_tree does the shredding.
+_NODES_SQL = """
+WITH RECURSIVE once AS (SELECT id, any_value(data) AS d FROM audit_results WHERE id IS NOT NULL GROUP BY id),
+u AS (SELECT id, 0 AS n, d::JSON AS j FROM once WHERE json_valid(d) UNION ALL
+  SELECT id, n + 1, CASE WHEN json_type(j) = 'VARCHAR' THEN json_extract_string(j, '$')::JSON ELSE json_extract(j, '$.payload') END FROM u
+  WHERE n < 20 AND (json_type(j) = 'VARCHAR' AND json_valid(json_extract_string(j, '$')) OR json_type(j) = 'OBJECT' AND json_type(j, '$.payload') IN ('VARCHAR', 'OBJECT')
+    AND len(list_filter(json_keys(j), lambda k: k <> 'payload' AND json_type(j, '$."' || k || '"') IN ('OBJECT', 'ARRAY'))) = 0)),
+doc AS (SELECT id, arg_max(j, n) AS j FROM u GROUP BY id),
+t AS (SELECT doc.id AS rid, x.id AS node, x.parent, x.key, x.type, x.value FROM doc, json_tree(doc.j) AS x WHERE json_type(doc.j) IN ('OBJECT', 'ARRAY')),
+p AS (SELECT rid, node, parent, NULL::VARCHAR AS label, type, value, '' AS path FROM t WHERE parent IS NULL UNION ALL
+  SELECT t.rid, t.node, t.parent, CASE WHEN p.type = 'OBJECT' THEN t.key END, t.type, t.value,
+    CASE WHEN p.type = 'ARRAY' THEN CASE WHEN ends_with(p.path, '[]') THEN p.path ELSE p.path || '[]' END WHEN p.path = '' THEN regexp_replace(lower(t.key), '[^a-z0-9]', '', 'g') ELSE p.path || '.' || regexp_replace(lower(t.key), '[^a-z0-9]', '', 'g') END
+  FROM p JOIN t ON t.rid = p.rid AND t.parent = p.node WHERE p.path = '' OR starts_with(p.path, 'layeredscore') OR starts_with(p.path, 'structureddata')),
+kid AS (SELECT rid, parent AS node, max(json_extract_string(value, '$')) FILTER (WHERE k = 'id') AS id, max(json_extract_string(value, '$')) FILTER (WHERE k = 'name') AS name, max(json_extract_string(value, '$')) FILTER (WHERE k = 'type') AS type,
+  max(json_extract_string(value, '$')) FILTER (WHERE k = 'category') AS category, max(json_extract_string(value, '$')) FILTER (WHERE k = 'score') AS score, max(json_extract_string(value, '$')) FILTER (WHERE k = 'weight') AS weight, max(json_extract_string(value, '$')) FILTER (WHERE k = 'availability') AS availability
+  FROM (SELECT *, regexp_replace(lower(label), '[^a-z0-9]', '', 'g') AS k FROM p WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL')) GROUP BY rid, parent),
+m AS (SELECT p.*, type NOT IN ('OBJECT', 'ARRAY', 'NULL') AS is_scalar, len(path) - len(replace(path, '.', '')) AS dots FROM p),
+sig AS (SELECT m.rid, m.node, coalesce(m.label, CASE WHEN is_scalar THEN json_extract_string(value, '$') ELSE kid.id END) AS name, kid.category, kid.score, kid.weight, kid.availability FROM m LEFT JOIN kid USING (rid, node)
+  WHERE path = 'layeredscore.signals[]' AND m.type NOT IN ('NULL', 'ARRAY') OR starts_with(path, 'layeredscore.signals.') AND dots = 2 AND m.type <> 'NULL'),
+typ AS (SELECT m.rid, m.node, coalesce(CASE WHEN path <> 'structureddata.typesfound' THEN m.label END, CASE WHEN is_scalar THEN json_extract_string(value, '$') ELSE coalesce(kid.name, kid.type) END) AS name FROM m LEFT JOIN kid USING (rid, node)
+  WHERE path = 'structureddata.typesfound' AND is_scalar OR path = 'structureddata.typesfound[]' AND m.type NOT IN ('NULL', 'ARRAY') OR starts_with(path, 'structureddata.typesfound.') AND dots = 2 AND m.type <> 'NULL')
+"""
+FOUND_SQL = _NODES_SQL + """SELECT rid AS result_id, 'signal' AS child_kind, CAST(row_number() OVER (PARTITION BY rid ORDER BY node) - 1 AS INTEGER) AS child_pos, name AS child_name FROM sig
+UNION ALL SELECT rid, 'type', CAST(row_number() OVER (PARTITION BY rid ORDER BY node) - 1 AS INTEGER), name FROM typ"""
+SIGNAL_TABLE_SQL = _NODES_SQL + "SELECT rid AS result_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY node) - 1 AS INTEGER) AS child_pos, name AS signal, category, TRY_CAST(score AS DOUBLE) AS score, TRY_CAST(weight AS DOUBLE) AS weight, availability FROM sig"
+TYPE_COUNTS_SQL = _NODES_SQL + "SELECT name AS type, count(*) AS n, count(DISTINCT rid) AS n_results FROM typ GROUP BY name"
+WEIGHTED_SQL = _NODES_SQL + """, w AS (SELECT rid, category, TRY_CAST(score AS DOUBLE) AS s, TRY_CAST(weight AS DOUBLE) AS w FROM sig)
+SELECT rid AS result_id, category, count(*) AS n, floor(CAST(sum(CAST(s * w AS DECIMAL(30,9))) AS DOUBLE) / CAST(sum(CAST(w AS DECIMAL(30,9))) AS DOUBLE) * 1000 + 0.5) / 10 AS score FROM w WHERE w > 0 AND s IS NOT NULL GROUP BY 1, 2"""
+OVERALL_SQL = _NODES_SQL + """, w AS (SELECT rid, TRY_CAST(score AS DOUBLE) AS s, TRY_CAST(weight AS DOUBLE) AS w FROM sig),
+mm AS (SELECT rid, floor(CAST(sum(CAST(s * w AS DECIMAL(30,9))) AS DOUBLE) / CAST(sum(CAST(w AS DECIMAL(30,9))) AS DOUBLE) * 100 + 0.5) AS v FROM w WHERE w > 0 AND s IS NOT NULL GROUP BY rid)
+SELECT id AS result_id, CAST(coalesce(v, 50) AS BIGINT) AS score FROM once LEFT JOIN mm ON mm.rid = once.id"""
+RANKED_SQL = _NODES_SQL + """, w AS (SELECT rid, name, TRY_CAST(weight AS DOUBLE) AS weight, CAST(row_number() OVER (PARTITION BY rid ORDER BY node) - 1 AS INTEGER) AS child_pos FROM sig)
+SELECT rid AS result_id, name AS signal, weight, child_pos, row_number() OVER (PARTITION BY rid ORDER BY weight DESC NULLS LAST, child_pos) AS place FROM w"""
+QUANTILES_SQL = _NODES_SQL + """, q AS (SELECT name AS signal, TRY_CAST(score AS DOUBLE) AS s FROM sig)
+SELECT signal, count(*) AS n, min(s) AS low, quantile_disc(s, 0.5) AS median, max(s) AS high FROM q WHERE s IS NOT NULL GROUP BY signal"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators.shredding import SIGNALS, TYPES_WANTED, shred, signal_rows, type_rows
+from ..operators.shredding import OVERALL_SQL, QUANTILES_SQL, RANKED_SQL, SIGNALS, TYPE_COUNTS_SQL, TYPES_WANTED, WEIGHTED_SQL, shred, signal_rows, type_rows
 from ..session import load, scratch
 from . import augmented
 
@@ -15,10 +15,31 @@ def weighted_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per result and signal category: sum of score times weight over sum of weights, in percent to one place; signals without weight don't count."""
     rows = signal_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes"))
     typed = rows.select("id", "category", F.expr("try_cast(score as double)").alias("s"), F.expr("try_cast(weight as double)").alias("w")).where("w > 0 and s is not null")
-    per = typed.groupBy(F.col("id").alias("result_id"), "category").agg(F.count("*").alias("n"), (F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("mean"))
+    per = typed.groupBy(F.col("id").alias("result_id"), "category").agg(F.count("*").alias("n"), _mean().alias("mean"))
     return per.select("result_id", "category", "n", (F.floor(F.col("mean") * 1000 + 0.5) / 10).alias("score"))
 
 
+def _mean():
+    """Weighted mean; summed as decimals, so that it doesn't depend on the order of the rows."""
+    exact = lambda c: F.sum(c.cast("decimal(30,9)")).cast("double")
+    return exact(F.col("s") * F.col("w")) / exact(F.col("w"))
+
+
+def overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per result: the weighted mean over all its signals in whole percent; 50 for a result without any that counts."""
+    results = load(spark, sf_dir, "audit_results").select(F.col("id").alias("result_id")).where("id is not null").distinct()
+    rows = signal_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes"))
+    per = rows.select(F.col("id").alias("result_id"), F.expr("try_cast(score as double)").alias("s"), F.expr("try_cast(weight as double)").alias("w")).where("w > 0 and s is not null").groupBy("result_id").agg(_mean().alias("mean"))
+    return results.join(per, "result_id", "left").select("result_id", F.coalesce(F.floor(F.col("mean") * 100 + 0.5), F.lit(50)).cast("bigint").alias("score"))
+
+
+def signals_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals of each result by weight, the heaviest first, those without weight last; ties in document order."""
+    rows = signal_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", (SIGNALS + "[].*", SIGNALS + ".*.*")), "nodes"))
+    rows = rows.select(F.col("id").alias("result_id"), F.col("name").alias("signal"), F.expr("try_cast(weight as double)").alias("weight"), "child_pos")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("result_id").orderBy(F.col("weight").desc_nulls_last(), "child_pos")).cast("bigint"))
+
+
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each type was found, and in how many results."""
     rows = type_rows(scratch(shred(load(spark, sf_dir, "audit_results"), "id", "data", TYPES_WANTED), "nodes"))
@@ -134,5 +155,5 @@ def registry() -> tuple[dict, dict[str, str]]:
         "title_repetition": (title_repetition, TITLE_REPETITION_SQL), "hreflang_pairs": (hreflang_pairs, HREFLANG_SQL), "page_kinds": (page_kinds, PAGE_KINDS_SQL), 
         "microdata_types": (microdata_types, MICRODATA_SQL.format(a=augmented.SQL)), "date_values": (date_values, DATE_VALUES_SQL), "languages": (languages, LANGUAGES_SQL),
     }
-    queries = {n: f for n, (f, _) in pairs.items()} | {"weighted_scores": weighted_scores, "type_counts": type_counts, "signal_quantiles": signal_quantiles}
-    return queries, {n: s for n, (_, s) in pairs.items()}
+    queries = {n: f for n, (f, _) in pairs.items()} | {"weighted_scores": weighted_scores, "overall_scores": overall_scores, "signals_ranked": signals_ranked, "type_counts": type_counts, "signal_quantiles": signal_quantiles}
+    return queries, {n: s for n, (_, s) in pairs.items()} | {"weighted_scores": WEIGHTED_SQL, "type_counts": TYPE_COUNTS_SQL, "overall_scores": OVERALL_SQL, "signals_ranked": RANKED_SQL, "signal_quantiles": QUANTILES_SQL}

@@ -28,7 +28,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"p5_found": snapshots.FOUND_SQL}
+    out = {"p5_found": snapshots.FOUND_SQL, "p6_found": shredding.FOUND_SQL, "p6_signal_table": shredding.SIGNAL_TABLE_SQL}
     for plan in _PLANS:
         out |= plan.registry()[1]
     return out

@@ -40,6 +40,7 @@ hits AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
     return {
         "p2_percentiles": radix_percentiles.PERCENTILES_SQL,
+        "p2_from_days": radix_percentiles.FROM_DAYS_SQL,
         "p8_found": leaks + "SELECT doc_id, item_id FROM hits",
         "p8_per_item": leaks + "SELECT item_id, count(*) AS n_docs FROM hits GROUP BY item_id",
     }

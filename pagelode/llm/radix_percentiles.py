@@ -9,7 +9,8 @@ order statistics: the smallest value whose cumulative share reaches the target.
 Digests (``digest``) are histograms of the high ``DIGEST_BITS`` bits per day; adding counts merges them,
 and a percentile read off merged digests errs by less than one bucket: 2**-(DIGEST_BITS-12) relative.
 
-Rows move once, by group and salt.  Groups that hold more than 1/(2*partitions) of all rows are found
+Rows move once a pass, by group and salt, and groups that aren't hot are counted and ranked where they lie, so the
+width of the digits costs no shuffle.  Groups that hold more than 1/(2*partitions) of all rows are found
 first; by counting there are fewer than 2*partitions of them, so that list may be broadcast.  They are
 salted, counted in their slices and added up; all others are counted and ranked where they lie.
 
@@ -89,15 +90,6 @@ def _salted(perf: DataFrame) -> DataFrame:
     return moved.dropDuplicates(["site_id", "page_type", "salt", "perf_id"])
 
 
-def _add_up(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Histogram rows of salted groups added over their slices; the rest as they are."""
-    return (
-        hist.where("salt = 0").unionByName(
-            hist.where("salt > 0").groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("salt", F.lit(0))
-        )
-    )
-
-
 def _rank_targets(percents: tuple[int, ...]) -> Column:
     return F.explode(F.array(*[F.struct(F.lit(p).alias("pct"), F.expr(f"(n_all * {p} + 99) div 100").alias("rank")) for p in percents])).alias("t")
 
@@ -106,10 +98,18 @@ def exact_percentiles(perf: DataFrame, percents: tuple[int, ...] = PERCENTS) ->
     """(site_id, page_type, metric, pct, n, value): exact percentiles per group."""
     group = ["site_id", "page_type", "metric"]
     values = _long(_salted(perf), "site_id", "page_type", "salt").withColumn("digit", F.shiftright("k", 32))
-    first = values.groupBy("site_id", "page_type", "salt", "metric", "digit").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-    hist = _add_up(first, [*group, "digit"])
-    up_to = Window.partitionBy(*group).orderBy("digit")
-    ranked = hist.withColumn("cum", F.sum("n").over(up_to)).withColumn("n_all", F.sum("n").over(Window.partitionBy(*group)))
+    lying = ["site_id", "page_type", "salt"]
+    # "slice" is the salt as an aggregate: a filter on it stays above the exchange, so that both branches read the same one
+    first = values.groupBy(*lying, "metric", "digit").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.max("salt").alias("slice"))
+
+    def ranked_by(hist: DataFrame, keys: list[str]) -> DataFrame:
+        whole = Window.partitionBy(*keys)
+        return hist.withColumn("cum", F.sum("n").over(whole.orderBy("digit"))).withColumn("n_all", F.sum("n").over(whole)).select(*group, "digit", "n", "lo", "hi", "cum", "n_all")
+
+    # groups that aren't hot are ranked where they lie; of hot ones the cells are added up over the slices
+    cold = ranked_by(first.where("slice = 0"), [*lying, "metric"])
+    hot = first.where("slice > 0").groupBy(*group, "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranked = cold.unionByName(ranked_by(hot, group))
     # each digit keeps the targets whose rank falls into it
     targets = ranked.select(*group, "digit", "n", "lo", "hi", "cum", "n_all", _rank_targets(percents)).select("*", "t.pct", "t.rank").drop("t")
     targets = targets.where("rank <= cum and rank > cum - n")
@@ -173,3 +173,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY site_id, page_type, metric ORDER
 p AS (SELECT CAST(unnest([50, 75, 90, 95, 99]) AS INTEGER) AS pct)
 SELECT site_id, page_type, metric, pct, n, v AS value FROM r, p WHERE rn = (n * pct + 99) // 100
 """
+#: Percentiles from digests are the exact ones brought down to their bucket's edge: eight bits after the leading one.
+FROM_DAYS_SQL = f"""
+WITH x AS ({PERCENTILES_SQL})
+SELECT site_id, page_type, metric, pct, n, CASE WHEN value = 0 THEN 0::DOUBLE ELSE floor(value / pow(2, floor(log2(value)) - 8)) * pow(2, floor(log2(value)) - 8) END AS value FROM x
+"""

@@ -89,7 +89,7 @@ def link_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses that differ only in their query or one trailing slash: groups of two or more, with their shortest member."""
-    rows = load(spark, sf_dir, "content_meta").select("url").where("url is not null").distinct()
+    rows = load(spark, sf_dir, "content_meta").where("url is not null").select(F.explode(F.array("url", F.expr(VARIED))).alias("url")).distinct()
     base = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/$", "")
     return rows.groupBy(base.alias("base")).agg(F.count("*").alias("n_urls"), F.min_by("url", F.struct(F.length("url"), "url")).alias("shortest")).where("n_urls > 1")
 
@@ -231,11 +231,30 @@ def depth_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl_depths(spark, sf_dir).groupBy("depth").agg(F.count("*").alias("n"))
 
 
+#: What asking for a link's target gives, made of its length; the text is of both dialects.
+ANSWER = "CASE length(url) % 5 WHEN 0 THEN 404 WHEN 1 THEN 301 WHEN 2 THEN 500 ELSE 200 END"
+
+
+def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fetch_id, url, internal): addresses a page links to, resolved, each once; mail, phone and script links left out."""
+    rows = pages(spark, sf_dir).select("fetch_id", F.col("url").alias("base"), F.array_distinct(F.regexp_extract_all("html", F.lit(H.QUOTED_HREF), F.lit(1))).alias("hrefs"))
+    rows = rows.select("fetch_id", "base", F.explode("hrefs").alias("href")).where("href <> '' and not href rlike '(?i)^(?:javascript|mailto|tel):'").distinct()
+    return U.with_resolved(rows, "href", "base", "url").select("fetch_id", "url", F.coalesce(U.host(F.col("url")) == U.host(F.col("base")), F.lit(False)).alias("internal")).distinct()
+
+
 def link_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to fetched pages by what the last fetch of the target gave: per source page, how many are broken."""
-    last = load(spark, sf_dir, "fetch_results").select(U.normalized(F.col("url")).alias("dst"), "fetched_at", "fetch_id", "http_status").where("dst is not null").groupBy("dst").agg(F.max_by("http_status", F.struct("fetched_at", "fetch_id")).alias("status"))
-    hits = links(spark, sf_dir).join(last, "dst")
-    return hits.groupBy("src").agg(F.count("*").alias("n_known"), F.count_if(F.coalesce(F.col("status") >= 400, F.lit(True))).alias("n_broken"))
+    """Links of each page and how many of them are broken, inside the site and outside, by what asking for the target gives."""
+    rows = page_targets(spark, sf_dir).withColumn("answer", F.expr(ANSWER))
+    broken = ~F.col("answer").between(200, 399)
+    return rows.groupBy("fetch_id").agg(F.count("*").alias("n_links"), F.count_if(broken & F.col("internal")).alias("broken_internal"), F.count_if(broken & ~F.col("internal")).alias("broken_external"))
+
+
+def raw_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain crawl: addresses as written (only resolved), same host, each once at its least depth, without robots, patterns or canonicals."""
+    rows = pages(spark, sf_dir).select("url", F.array_distinct(F.regexp_extract_all("html", F.lit(H.QUOTED_HREF), F.lit(1))).alias("hrefs")).select("url", F.explode("hrefs").alias("href")).where("href <> '' and not href rlike '(?i)^(?:javascript|mailto|tel):'").distinct()
+    edges = U.with_resolved(rows, "href", "url", "target").select(F.col("url").alias("src"), F.col("target").alias("dst")).where("src <> dst").where(_host("src") == _host("dst")).distinct()
+    seeds = edges.groupBy(_host("src").alias("host")).agg(F.min("src").alias("url"))
+    return bfs(edges, seeds).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 def crawl_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,6 +288,7 @@ g AS (SELECT 'query' AS kind, lower({U.part_sql('url', 1)}) || '://' || {U.host_
 def registry() -> tuple[dict, dict[str, str]]:
     from ..plans.pages import PAGE_SQL
 
+    u = U
     e = "WITH RECURSIVE " + _links_sql()
     deg = "d AS (SELECT url, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS url, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY url)"
     own = f"own AS (SELECT DISTINCT {U.normalized_sql('url')} AS url FROM {PAGE_SQL}), orph AS (SELECT url FROM own WHERE url IS NOT NULL AND url NOT IN (SELECT dst FROM e))"
@@ -279,9 +299,10 @@ def registry() -> tuple[dict, dict[str, str]]:
         "link_suggestions": f"{e}, {deg}, {own}, hub AS (SELECT {U.host_sql('url')} AS host, url AS hub, n_in FROM d WHERE n_in >= 5), pr AS (SELECT orph.url, hub, n_in FROM orph JOIN hub ON hub.host = {U.host_sql('orph.url')} WHERE hub <> orph.url AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = orph.url AND e.dst = hub)) SELECT url, arg_max(hub, (n_in, hub)) AS hub FROM pr GROUP BY url",
         "crawl_depths": f"{e}, s AS (SELECT min(src) AS url FROM e GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 10) SELECT url, min(depth) AS depth FROM b GROUP BY url",
         "depth_distribution": f"{e}, s AS (SELECT min(src) AS url FROM e GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 10) SELECT depth, count(*) AS n FROM (SELECT url, min(depth) AS depth FROM b GROUP BY url) GROUP BY depth",
-        "link_status": f"{e}, l AS (SELECT dst, arg_max(coalesce(http_status, -1), (fetched_at, fetch_id)) AS status FROM (SELECT {U.normalized_sql('url')} AS dst, fetched_at, fetch_id, http_status FROM fetch_results) WHERE dst IS NOT NULL GROUP BY dst) SELECT src, count(*) AS n_known, count(*) FILTER (WHERE status >= 400 OR status = -1) AS n_broken FROM e JOIN l USING (dst) GROUP BY src",
+        "link_status": f"WITH h AS (SELECT DISTINCT fetch_id, url AS base, unnest(regexp_extract_all(html, {H.q(H.QUOTED_HREF)}, 1)) AS href FROM {PAGE_SQL}), r AS (SELECT fetch_id, base, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || href ELSE regexp_extract(base, '^([A-Za-z]+://[^/?#]+)', 1) || regexp_replace({u.path_sql('base')}, '[^/]*$', '') || href END AS url FROM h WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(?:javascript|mailto|tel):')), d AS (SELECT DISTINCT fetch_id, url, coalesce({u.host_sql('url')} = {u.host_sql('base')}, false) AS internal FROM r), a AS (SELECT *, {ANSWER} AS answer FROM d) SELECT fetch_id, count(*) AS n_links, count(*) FILTER (WHERE answer NOT BETWEEN 200 AND 399 AND internal) AS broken_internal, count(*) FILTER (WHERE answer NOT BETWEEN 200 AND 399 AND NOT internal) AS broken_external FROM a GROUP BY fetch_id",
+        "raw_crawl": f"{e}, re AS (SELECT DISTINCT url AS src, target AS dst FROM r WHERE url <> target AND {U.host_sql('url')} = {U.host_sql('target')}), s AS (SELECT min(src) AS url FROM re GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT re.dst, b.depth + 1 FROM b JOIN re ON re.src = b.url WHERE b.depth < 10) SELECT url, min(depth) AS depth FROM b GROUP BY url",
         "crawl_summary": "SELECT site_id, CASE WHEN challenge_detected THEN 'blocked' WHEN http_status >= 400 THEN 'error' WHEN NOT regexp_matches(coalesce(content_type, 'text/html'), '(?i)html') THEN 'non_html' WHEN size = 0 THEN 'empty' WHEN coalesce(fetch_ok, false) THEN 'success' ELSE 'unknown' END AS outcome, count(*) AS n, CAST(sum(size) AS BIGINT) AS chars FROM (SELECT DISTINCT fetch_id, site_id, http_status, fetch_ok, content_type, coalesce(length(html), 0) AS size, challenge_detected FROM fetch_results) GROUP BY 1, 2",
-        "query_variants": "SELECT base, count(*) AS n_urls, arg_min(url, (length(url), url)) AS shortest FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS base FROM content_meta WHERE url IS NOT NULL) GROUP BY base HAVING count(*) > 1",
+        "query_variants": f"SELECT base, count(*) AS n_urls, arg_min(url, (length(url), url)) AS shortest FROM (SELECT DISTINCT url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS base FROM (SELECT url FROM content_meta WHERE url IS NOT NULL UNION SELECT {VARIED} FROM content_meta WHERE url IS NOT NULL)) GROUP BY base HAVING count(*) > 1",
         "calendar_traps": f"SELECT regexp_replace(url, {H.q(U.CALENDAR_TAIL)}, '') AS base, count(*) AS n_urls FROM (SELECT DISTINCT {DATED} AS url FROM page_performance WHERE url IS NOT NULL) WHERE {U.any_of_sql('url', U.CALENDAR)} GROUP BY 1 HAVING count(*) >= 10",
         "paging_loops": f"SELECT regexp_replace(regexp_replace(regexp_replace(url, '(?i)/page/\\d+', ''), '(?i)[?&](page|p|offset|start|pg)=\\d+', ''), '(?i)/pg/\\d+', '') AS base, count(*) AS n_pages, CAST(max(CAST(nullif(regexp_extract(url, {H.q(_NUMBER)}, 1), '') AS DECIMAL(38,0))) AS VARCHAR) AS highest FROM (SELECT DISTINCT {NUMBERED} AS url FROM page_performance WHERE url IS NOT NULL) WHERE {U.any_of_sql('url', U.PAGING)} GROUP BY 1 HAVING count(*) >= 20",
         "link_report": f"""{e}, {deg}, s AS (SELECT min(src) AS url FROM e GROUP BY {U.host_sql('src')}), b AS (SELECT url, 0::BIGINT AS depth FROM s UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.url WHERE b.depth < 10), bd AS (SELECT url, min(depth) AS depth FROM b GROUP BY url),
@@ -294,4 +315,4 @@ SELECT host, pages, links, orphans, weak, deep, well, moderate, poor, mean_links
         "duplicate_groups": _DUPLICATES_SQL + "SELECT * FROM g",
         "duplicate_score": _DUPLICATES_SQL + f"SELECT {U.host_sql('keep')} AS host, count(*) FILTER (WHERE kind = 'query') AS n_query, count(*) FILTER (WHERE kind = 'slash') AS n_slash, CAST(sum(n_urls - 1) AS BIGINT) AS to_redirect, CAST(100 - CASE WHEN bool_or(kind = 'query') THEN 10 ELSE 0 END - CASE WHEN bool_or(kind = 'slash') THEN 10 ELSE 0 END AS BIGINT) AS score FROM g GROUP BY 1",
     }
-    return {"internal_links": links, "link_degrees": link_degrees, "orphans": orphans, "link_suggestions": link_suggestions, "crawl_depths": crawl_depths, "depth_distribution": depth_distribution, "link_status": link_status, "crawl_summary": crawl_summary, "query_variants": query_variants, "calendar_traps": lambda s, d: calendar_traps(measured_urls(s, d, DATED)), "paging_loops": lambda s, d: paging_loops(measured_urls(s, d, NUMBERED)), "crawl_pages": crawl_pages, "crawl_report": crawl_report, "link_report": link_report, "duplicate_groups": duplicate_groups, "duplicate_score": duplicate_score}, sql
+    return {"internal_links": links, "link_degrees": link_degrees, "orphans": orphans, "link_suggestions": link_suggestions, "crawl_depths": crawl_depths, "depth_distribution": depth_distribution, "link_status": link_status, "crawl_summary": crawl_summary, "query_variants": query_variants, "calendar_traps": lambda s, d: calendar_traps(measured_urls(s, d, DATED)), "paging_loops": lambda s, d: paging_loops(measured_urls(s, d, NUMBERED)), "crawl_pages": crawl_pages, "raw_crawl": raw_crawl, "crawl_report": crawl_report, "link_report": link_report, "duplicate_groups": duplicate_groups, "duplicate_score": duplicate_score}, sql

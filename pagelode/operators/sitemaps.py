@@ -264,6 +264,36 @@ r AS (SELECT *, CASE WHEN status = 'FOUND' THEN 0 WHEN source = 'robots' THEN 1
 SELECT site, count(*) AS n_tried, arg_min(url, (step, place)) AS url, arg_min(CASE WHEN source = 'robots' AND status NOT IN ('FOUND', 'BLOCKED', 'BOT_PROTECTION') THEN 'DISCOVERED' ELSE status END, (step, place)) AS status FROM r GROUP BY site"""
 
 
+#: How many files a discovery looks at per site, as the feature has it.
+MOST_FILES = 20
+
+
+def discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, place, source, url, class): the files a discovery looks at, in order: what robots declares, what the site's pages link to, known paths in both schemes; alike ones once."""
+    from ..plans.report import discovery_links
+
+    first = candidates(spark, sf_dir).select("site", "url", "source", F.struct(F.when(F.col("source") == "robots", 0).otherwise(2).alias("step"), F.col("place").cast("string").alias("a"), F.col("place").cast("bigint").alias("b")).alias("o"))
+    linked = discovery_links(spark, sf_dir).where("kind = 'sitemap'").select(U.host(F.col("url")).alias("site"), "url", F.lit("html").alias("source"), F.struct(F.lit(1).alias("step"), F.col("url").alias("a"), F.lit(0).cast("bigint").alias("b")).alias("o")).where("site is not null")
+    order = F.struct("o.step", F.when(F.col("o.step") == 1, F.col("o.a")).otherwise("").alias("a"), "o.b")
+    every = first.unionByName(linked).select("site", "url", "source", order.alias("o"), F.regexp_replace(F.lower("url"), "/+$", "").alias("key"))
+    once = every.groupBy("site", "key").agg(F.min(F.struct("o", "url", "source")).alias("m")).select("site", "m.o", "m.url", "m.source")
+    ranked = once.withColumn("place", F.row_number().over(Window.partitionBy("site").orderBy("o", "url"))).where(F.col("place") <= MOST_FILES)
+    return ranked.join(file_classes(spark, sf_dir).select("url", "class"), "url", "left").select("site", F.col("place").cast("bigint").alias("place"), "source", "url", F.coalesce("class", F.lit("ERROR")).alias("class"))
+
+
+def _discovery_sql() -> str:
+    from ..plans.report import _discovery_sql as linked
+
+    head = CHOICE_SQL[: CHOICE_SQL.index("\nt AS (SELECT o.*")].rstrip().rstrip(",")
+    return head + f""",
+dl AS ({linked()}),
+al AS (SELECT site, url, source, CASE source WHEN 'robots' THEN 0 ELSE 2 END AS step, '' AS a, place AS b FROM o UNION ALL SELECT {U.host_sql('url')}, url, 'html', 1, url, 0 FROM dl WHERE kind = 'sitemap' AND {U.host_sql('url')} IS NOT NULL),
+on1 AS (SELECT site, arg_min(url, (step, a, b, url)) AS url, arg_min(source, (step, a, b, url)) AS source, min((step, a, b)) AS k FROM al GROUP BY site, regexp_replace(lower(url), '/+$', '')),
+rk AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY k, url) AS place FROM on1),
+cl AS ({CLASSES_SQL[len(FILES_SQL):]})
+SELECT rk.site, place, source, rk.url, coalesce(cl.class, 'ERROR') AS class FROM rk LEFT JOIN cl USING (url) WHERE place <= {MOST_FILES}"""
+
+
 # -- indexes -------------------------------------------------------------------------------------
 def expand(files: DataFrame, most_depth: int = 3) -> DataFrame:
     """(site, url, depth, parent): files reached from the sitemaps, indexes followed level by level, each file once at its least depth.
@@ -357,6 +387,6 @@ SELECT site, url, floor(indexed * 1000.0::DOUBLE / submitted + 0.5) / 10 AS rate
 def registry() -> tuple[dict, dict[str, str]]:
     pairs = {
         "sitemap_status": (sitemap_status, STATUS_SQL), "file_classes": (file_classes, CLASSES_SQL), "robots_report": (robots_report, ROBOTS_SQL), "crawl_allowed": (crawl_allowed, ALLOWED_SQL), "sitemap_choice": (sitemap_choice, CHOICE_SQL),
-        "index_files": (index_files, INDEX_SQL), "index_children": (index_children, CHILDREN_SQL), "news_sitemaps": (news_sitemaps, NEWS_SQL), "news_compliance": (compliance, COMPLIANCE_SQL),
+        "sitemap_discovery": (discovery, _discovery_sql()), "index_files": (index_files, INDEX_SQL), "index_children": (index_children, CHILDREN_SQL), "news_sitemaps": (news_sitemaps, NEWS_SQL), "news_compliance": (compliance, COMPLIANCE_SQL),
     }
     return {n: f for n, (f, _) in pairs.items()}, {n: s for n, (_, s) in pairs.items()}

@@ -305,27 +305,45 @@ SELECT * FROM (SELECT source, term, n, floor(n * 10000.0::DOUBLE / sum(n) OVER (
 
 
 def fingerprint_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with the same 32-bit rolling hash of their first 500 visible characters, lower-cased (the fingerprint's definition), at two or more addresses."""
-    rows = pages(spark, sf_dir).select("url", F.substring(F.lower(H.visible(F.col("html"))), 1, 500).alias("t")).distinct()
+    """Pages with the same 32-bit rolling hash of their first 500 visible characters, lower-cased (the fingerprint's definition), at two or more addresses, and the address
+    they should name: the canonical address of the one with the shortest address, or that address.  Some pages are taken to have a print version, so that copies are met."""
+    rows = pages(spark, sf_dir).select("fetch_id", "url", H.named(F.col("html"), "link", "rel", "canonical", "href").alias("canonical"), F.substring(F.lower(H.visible(F.col("html"))), 1, 500).alias("t")).distinct()
+    rows = rows.unionByName(rows.where("fetch_id % 10 = 0").withColumn("url", F.concat("url", F.lit("/print"))))
     codes = F.transform(F.split("t", ""), lambda c: F.ascii(c).cast("bigint"))
-    rows = rows.select("url", F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32))).alias("fingerprint"))
-    return rows.groupBy("fingerprint").agg(F.count_distinct("url").alias("n_urls"), F.min_by("url", F.struct(F.length("url"), "url")).alias("shortest")).where("n_urls > 1")
+    rows = rows.select("url", "canonical", F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32))).alias("fingerprint")).where("url is not null")
+    per = rows.groupBy("fingerprint").agg(F.count_distinct("url").alias("n_urls"), F.min(F.struct(F.length("url").alias("l"), "url", F.coalesce("canonical", F.col("url")).alias("keep"))).alias("m")).where("n_urls > 1")
+    return per.select("fingerprint", "n_urls", F.col("m.url").alias("shortest"), F.col("m.keep").alias("keep"))
 
 
 FINGERPRINT_SQL = """
-WITH r AS (SELECT DISTINCT url, lower({v})[1:500] AS t FROM {p}),
-h AS (SELECT url, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS fingerprint FROM r)
-SELECT fingerprint, count(DISTINCT url) AS n_urls, arg_min(url, (length(url), url)) AS shortest FROM h GROUP BY fingerprint HAVING count(DISTINCT url) > 1
+WITH o AS (SELECT DISTINCT fetch_id, url, {c} AS canonical, lower({v})[1:500] AS t FROM {p}),
+r AS (SELECT url, canonical, t FROM o UNION SELECT url || '/print', canonical, t FROM o WHERE fetch_id % 10 = 0),
+h AS (SELECT url, coalesce(canonical, url) AS keep, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), lambda c: CASE WHEN c = '' THEN 0 ELSE unicode(c) END::BIGINT)), lambda a, c: (a * 31 + c) % 4294967296) AS fingerprint FROM r WHERE url IS NOT NULL)
+SELECT fingerprint, count(DISTINCT url) AS n_urls, arg_min(url, (length(url), url)) AS shortest, arg_min(keep, (length(url), url, keep)) AS keep FROM h GROUP BY fingerprint HAVING count(DISTINCT url) > 1
 """
 
 
+def content_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything about a page's content and meta tags in one row: the columns of the single checks over one scan."""
+    cols = dict(_columns())
+    wanted = ("title_check", "meta_description", "h1_check", "robots_meta", "og_tags", "twitter_tags", "viewport_charset_lang", "canonical_extract", "word_count", "byline_flags", "link_counts")
+    return augmented.pages(spark, sf_dir).select("fetch_id", *[c.alias(n) for k in wanted for n, c in cols[k].items()]).distinct()
+
+
+def _content_sql() -> str:
+    texts = dict(_texts())
+    wanted = ("title_check", "meta_description", "h1_check", "robots_meta", "og_tags", "twitter_tags", "viewport_charset_lang", "canonical_extract", "word_count", "byline_flags", "link_counts")
+    return "SELECT DISTINCT fetch_id, " + ", ".join(f"{e} AS {n}" for k in wanted for n, e in texts[k].items()) + f" FROM {augmented.SQL}"
+
+
 def registry() -> tuple[dict, dict[str, str]]:
     extra = {
         "duplicate_titles": (duplicate_titles, DUPLICATE_TITLES_SQL.format(t=H.title_sql("html"), p=PAGE_SQL)),
         "json_ld_types": (json_ld_types, JSON_LD_SQL.format(a=augmented.SQL)),
         "anchor_texts": (anchor_texts, ANCHOR_SQL.format(p=PAGE_SQL, pattern=H.q(H.ANCHOR), text=H.trimmed_sql(f"regexp_replace(a, {H.q(H.TAGS)}, '', 'g')"))),
         "term_density": (term_density, TERM_SQL),
-        "fingerprint_clusters": (fingerprint_clusters, FINGERPRINT_SQL.format(v=H.visible_sql("html"), p=PAGE_SQL)),
+        "fingerprint_clusters": (fingerprint_clusters, FINGERPRINT_SQL.format(v=H.visible_sql("html"), c=H.named_sql("html", "link", "rel", "canonical", "href"), p=PAGE_SQL)),
+        "content_check": (content_check, _content_sql()),
     }
     texts = {n: "SELECT DISTINCT fetch_id, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + f" FROM {augmented.SQL if n in AUGMENTED else PAGE_SQL}" for n, cols in _texts()}
     return {n: _query(n) for n in texts} | {n: f for n, (f, _) in extra.items()}, texts | {n: s for n, (_, s) in extra.items()}

@@ -21,6 +21,12 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str,
     return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions, properties=dict(properties))
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", partitions: int = 8, properties: Mapping[str, str] | None = None) -> None:
+    """df into a database table over at most so many connections."""
+    many = df.coalesce(partitions) if df.rdd.getNumPartitions() > partitions else df
+    many.write.jdbc(url, table, mode=mode, properties=dict(properties or {}))
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "error", partition_by: tuple[str, ...] = (), **options: str) -> None:
     writer = df.write.format(kind).mode(mode).options(**options)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)

@@ -160,3 +160,12 @@ def test_files_and_children(spark, tmp_path):
     assert tables.read(spark, str(tmp_path / "p")).count() == 2
     kept = tables.replace_children(spark.createDataFrame([("s", 1), ("t", 2)], "site string, n int"), spark.createDataFrame([("s", 7)], "site string, n int"), "site")
     assert rows(kept) == [("s", 7), ("t", 2)]
+
+
+def test_database_tables(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df = spark.createDataFrame([(i, f"s{i % 3}") for i in range(20)], "n int, site string")
+    tables.write_jdbc(df, url, "runs", "overwrite", 2, driver)
+    tables.write_jdbc(df.limit(1), url, "runs", properties=driver)
+    back = tables.read_jdbc(spark, url, "runs", "n", 0, 20, 4, driver)
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 21 and rows(back.distinct().toDF("n", "site")) == rows(df)

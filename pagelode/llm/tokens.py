@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -24,12 +26,28 @@ def encoding(path: str):
     return tiktoken.Encoding("public-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, path: str) -> None:
+    """Have the driver serve the vocabulary to executors that don't have it at its path, once per application."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _SENT and os.path.isfile(path):
+        _SENT.add(key)
+        spark.sparkContext.addFile(path)
+
+
+def _at_worker(path: str) -> str:
+    return path if os.path.isfile(path) else SparkFiles.get(os.path.basename(path))
+
+
 def with_token_counts(rows: DataFrame, text_col: str, out_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """rows without text_col, with out_col: its number of tokens (0 for NULL).  Whole texts are encoded."""
     kept = [c for c in rows.columns if c != text_col]
+    _send(rows.sparkSession, vocabulary)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(_at_worker(vocabulary)).encode_ordinary
         for batch in source:
             counts = [len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*kept, out_col])

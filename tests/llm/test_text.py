@@ -156,6 +156,19 @@ def test_mix(spark):
     assert mixing.mix(d.limit(0), t)[0].count() == 0
 
 
+def test_vocabulary_is_served(spark, tmp_path):
+    import shutil
+
+    from pagelode.llm import tokens
+
+    here = str(tmp_path / "served.tiktoken")
+    shutil.copy(tokens.VOCABULARY, here)
+    df = spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "i int, t string")
+    assert rows(tokens.with_token_counts(df, "t", "n", here)) == [(1, 2), (2, 0), (3, 0)]
+    served = tokens._at_worker("/not/here/served.tiktoken")  # where a worker without the path looks
+    assert open(served, "rb").read() == open(here, "rb").read()
+
+
 # -- truncation ----------------------------------------------------------------------------------
 def test_binomial_tail():
     for n, p in ((10, 0.3), (40, 0.05), (5, 0.9)):

@@ -227,10 +227,12 @@ SELECT meta_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY me
 
 def page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten commonest words of more than three characters of each page's text with their share in percent; ties by first appearance, numbers first."""
-    rows = load(spark, sf_dir, "fetch_results").where("html <> ''").select("fetch_id", F.lower(H.visible(F.col("html"))).alias("t")).dropDuplicates(["fetch_id"])
-    words = F.filter(F.split("t", " "), lambda w: F.length(w) > 3)
-    long = rows.select("fetch_id", F.size(words).alias("total"), F.posexplode(words).alias("place", "term"))
-    counts = long.groupBy("fetch_id", "term").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("total").alias("total"))
+    rows = load(spark, sf_dir, "fetch_results").where("html <> ''")
+    words = F.filter(F.split(F.lower(H.visible(F.col("html"))), " "), lambda w: F.length(w) > 3)
+    long = rows.select("fetch_id", words.alias("w")).select("fetch_id", F.size("w").alias("total"), F.posexplode("w").alias("place", "term"))
+    # redelivered pages are whole copies: their counts are divided by their number, so no text crosses a shuffle
+    copies = rows.groupBy("fetch_id").agg(F.count("*").alias("copies"))
+    counts = long.groupBy("fetch_id", "term").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("total").alias("total")).join(copies, "fetch_id").withColumn("n", F.expr("n div copies"))
     number = F.when(F.col("term").rlike("^[1-9][0-9]{3,8}$"), F.col("term").try_cast("bigint"))  # keys that are whole numbers stand first
     rank = F.row_number().over(Window.partitionBy("fetch_id").orderBy(F.desc("n"), number.asc_nulls_last(), "first"))
     return counts.withColumn("rank", rank).where("rank <= 10").select("fetch_id", "term", "n", F.col("rank").cast("bigint").alias("rank"), (F.floor(F.col("n") * 10000.0 / F.col("total") + 0.5) / 100).alias("pct"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 WS = r"[ \t\r\n\f]"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-STYLE_SCRIPT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
+STYLE_SCRIPT = r"(?is)<s(?:cript[^>]*>.*?</script>|tyle[^>]*>.*?</style>)"
 TAGS = r"<[^>]+>"
 QUOTED_HREF = r"(?i)<a[ \t\r\n\f][^>]*href[ \t\r\n\f]*=[ \t\r\n\f]*[\"']([^\"'#]*)[\"']"
 ANCHOR = r"(?is)<a(?:[ \t\r\n\f][^>]*)?>(.*?)</a>"
@@ -106,7 +106,7 @@ def inner_texts_sql(e: str, tag: str) -> str:
 
 def visible(html: Column) -> Column:
     """Text without scripts, styles and tags, blanks collapsed."""
-    return trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, STYLE_SCRIPT, " "), TAGS, " "), f"{WS}+", " "))
+    return trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(html, STYLE_SCRIPT, " "), TAGS, " "), rf"{WS}{{2,}}|[\t\r\n\f]", " "))
 
 
 def visible_sql(e: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load
+from ..session import load, spread
 
 _LD = '<script type="application/ld+json">{}</script>'
 #: (modulus, remainder -> tags); {url} stands for the page's address.
@@ -58,10 +58,10 @@ CHALLENGES_SQL = f"(SELECT fetch_id, {WITH_CHALLENGES} || html AS html FROM {_ON
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fetch_id, site_id, url, paged_url, html."""
-    rows = load(spark, sf_dir, "fetch_results").where("html is not null and html <> ''")
+    rows = spread(load(spark, sf_dir, "fetch_results").select("fetch_id", "site_id", "url", "html").where("html is not null and html <> ''"))
     return rows.select("fetch_id", "site_id", "url", F.expr(PAGED).alias("paged_url"), F.concat(F.expr(BEFORE), F.col("html")).alias("html"))
 
 
 def challenge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "fetch_results").where("html is not null and html <> ''")
+    rows = spread(load(spark, sf_dir, "fetch_results").select("fetch_id", "html").where("html is not null and html <> ''"))
     return rows.select("fetch_id", F.concat(F.expr(WITH_CHALLENGES), F.col("html")).alias("html"))

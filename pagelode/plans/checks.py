@@ -170,7 +170,7 @@ _ISO = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2})?([+-]\d{2}:\d{2}|Z)?)?$"
 def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page: schema types found by JSON-LD, microdata and RDFa, those that can be rich results, fields present and missing in the first entity of the
     page type's own types, and the status: WARN if no types, if none fits the page type, if a field search engines need is missing, or a date isn't ISO."""
-    pages = augmented.pages(spark, sf_dir).withColumn("page_type", F.expr(AS_TYPE)).select("fetch_id", "page_type", "html").distinct()
+    pages = augmented.pages(spark, sf_dir).withColumn("page_type", F.expr(AS_TYPE)).select("fetch_id", "page_type", "html")  # redelivered ones fall together below
     found = entities(pages, "page_type").select("fetch_id", "page_type", "entity", "no", F.expr(_TYPES_OF).alias("types"))
     of_type = F.lit(False)
     for kind, (types, _) in ENTITY_FIELDS.items():
@@ -188,7 +188,7 @@ def structured_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = found.groupBy("fetch_id").agg(F.collect_set("types").alias("ts"), F.min_by(F.when(of_type, facts), F.when(of_type, F.col("no"))).alias("f"))
     micro = F.regexp_extract_all("html", F.lit(r"(?i)itemtype=[\"']https?://schema\.org/([^\"']+)[\"']"), F.lit(1))
     rdfa = F.transform(F.flatten(F.transform(F.regexp_extract_all("html", F.lit(r"(?i)typeof=[\"']([^\"']+)[\"']"), F.lit(1)), lambda t: F.split(t, "[ \t\r\n\f]+"))), lambda t: F.regexp_replace(t, "^schema:", ""))
-    rows = pages.select("fetch_id", "page_type", F.array_union(micro, rdfa).alias("other")).join(per, "fetch_id", "left")
+    rows = pages.select("fetch_id", "page_type", F.array_union(micro, rdfa).alias("other")).distinct().join(per, "fetch_id", "left")
     rows = rows.withColumn("types", F.array_sort(F.filter(F.array_union(F.coalesce(F.flatten("ts"), F.array().cast("array<string>")), "other"), lambda t: t != "")))
     has = lambda *names: F.arrays_overlap("types", F.array(*map(F.lit, names)))
     fits = F.when(F.col("page_type") == "article", has(*ARTICLES)).when(F.col("page_type") == "home", has("WebSite", "Organization", "NewsMediaOrganization", "Corporation", "WebPage", "CollectionPage")).when(F.col("page_type") == "author", has("Person", "ProfilePage")).otherwise(has("VideoObject"))
@@ -228,11 +228,11 @@ SELECT fetch_id, page_type, array_to_string(types, ',') AS types, array_to_strin
 
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page type by address, refined by JSON-LD types (graphs included), og:type and article marks; and the category: by types, by og:type, by type and date."""
-    pages = augmented.pages(spark, sf_dir).select("fetch_id", F.col("paged_url").alias("url"), "html").distinct()
+    pages = augmented.pages(spark, sf_dir).select("fetch_id", F.col("paged_url").alias("url"), "html")
     kinds = entities(pages).groupBy("fetch_id").agg(F.flatten(F.collect_set(F.expr(_TYPES_OF))).alias("types"))
     html = F.col("html")
     og = F.lower(F.coalesce(F.nullif(F.regexp_extract(html, r"(?i)<meta[^>]*property=[\"']og:type[\"'][^>]*content=[\"']([^\"']+)[\"']", 1), F.lit("")), F.regexp_extract(html, r"(?i)<meta[^>]*content=[\"']([^\"']+)[\"'][^>]*property=[\"']og:type[\"']", 1)))
-    marks = pages.select("fetch_id", type_by_url(F.col("url")).alias("by_url"), og.alias("og"), html.rlike(r"(?i)<article[\s>]").alias("element"), html.rlike(r"(?i)<meta[^>]*property=[\"']article:published_time[\"']").alias("timed"), html.rlike(r"(?i)<[^>]*itemprop=[\"']datePublished[\"']").alias("dated"), html.rlike(r"(?i)<time[\s>]|itemprop=[\"']datePublished[\"']|article:published_time").alias("date"))
+    marks = pages.select("fetch_id", type_by_url(F.col("url")).alias("by_url"), og.alias("og"), html.rlike(r"(?i)<article[\s>]").alias("element"), html.rlike(r"(?i)<meta[^>]*property=[\"']article:published_time[\"']").alias("timed"), html.rlike(r"(?i)<[^>]*itemprop=[\"']datePublished[\"']").alias("dated"), html.rlike(r"(?i)<time[\s>]|itemprop=[\"']datePublished[\"']|article:published_time").alias("date")).distinct()
     rows = marks.join(kinds, "fetch_id", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     has = lambda *names: F.arrays_overlap("types", F.array(*map(F.lit, names)))
     article, person = has(*ARTICLES), has("Person", "ProfilePage")

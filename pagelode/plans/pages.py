@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..session import load
+from ..session import load, spread
 from . import augmented
 
 PAGE_SQL = "(SELECT DISTINCT fetch_id, site_id, url, final_url, html FROM fetch_results WHERE html IS NOT NULL AND html <> '')"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "fetch_results").where("html is not null and html <> ''")
+    """Fetches with html, over as many tasks as there are cores: the checks work on every character."""
+    return spread(load(spark, sf_dir, "fetch_results").select("fetch_id", "site_id", "url", "final_url", "html").where("html is not null and html <> ''"))
 
 
 def _columns() -> Iterator[tuple[str, dict[str, Column]]]:
@@ -63,7 +64,7 @@ def _columns() -> Iterator[tuple[str, dict[str, Column]]]:
         'has_next': F.exists(H.tags(_html, 'link'), lambda a: F.coalesce(F.lower(H.attr(a, 'rel')) == 'next', F.lit(False))),
         'has_prev': F.exists(H.tags(_html, 'link'), lambda a: F.coalesce(F.lower(H.attr(a, 'rel')) == 'prev', F.lit(False))),
     }
-    words = H.words(_html)
+    words = F.col("_words")  # worked out once, before the columns that use it
     yield 'word_count', {
         'words': F.size(words).cast('bigint'),
         'uniqueness': F.when(F.size(words) == 0, F.lit(100.0)).otherwise(F.floor(F.size(F.array_distinct(F.transform(words, F.lower))) * 100.0 / F.size(words) + 0.5).cast('double')),
@@ -227,7 +228,7 @@ def _query(name: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = dict(_columns())[name]
         source = augmented.pages if name in AUGMENTED else pages
-        return source(spark, sf_dir).select("fetch_id", *[c.alias(n) for n, c in cols.items()]).distinct()
+        return source(spark, sf_dir).withColumn("_words", H.words(F.col("html"))).select("fetch_id", *[c.alias(n) for n, c in cols.items()]).distinct()
 
     return query
 
@@ -327,7 +328,7 @@ def content_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything about a page's content and meta tags in one row: the columns of the single checks over one scan."""
     cols = dict(_columns())
     wanted = ("title_check", "meta_description", "h1_check", "robots_meta", "og_tags", "twitter_tags", "viewport_charset_lang", "canonical_extract", "word_count", "byline_flags", "link_counts")
-    return augmented.pages(spark, sf_dir).select("fetch_id", *[c.alias(n) for k in wanted for n, c in cols[k].items()]).distinct()
+    return augmented.pages(spark, sf_dir).withColumn("_words", H.words(F.col("html"))).select("fetch_id", *[c.alias(n) for k in wanted for n, c in cols[k].items()]).distinct()
 
 
 def _content_sql() -> str:

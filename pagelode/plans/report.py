@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.html import q
 from ..operators.sitefiles import sitemap_files, sitemap_rows
 from ..operators.sitemaps import AS_OF, read_time
-from ..session import load
+from ..session import load, spread
 from . import augmented
 from .checks import entities
 
@@ -33,10 +33,10 @@ def _days(at: Column) -> Column:
 def date_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id, url, ld_published, ld_modified, meta_published, meta_modified, sitemap_lastmod): date texts of a page, each from its first source that has one;
     the sitemap's by address without a trailing slash, its first entry."""
-    pages = augmented.pages(spark, sf_dir).select("fetch_id", "url", "html").distinct()
+    pages = augmented.pages(spark, sf_dir).select("fetch_id", "url", "html")  # redelivered ones fall together below
     text = lambda f: F.nullif(F.expr(f"try_variant_get(entity, '$.{f}', 'string')"), F.lit(""))
     ld = entities(pages).groupBy("fetch_id").agg(*[F.min_by(text(f), F.when(text(f).isNotNull(), F.col("no"))).alias(f"ld_{k}") for k, f in (("published", "datePublished"), ("modified", "dateModified"))])
-    meta = pages.select("fetch_id", "url", _first(F.col("html"), [_META.format(a, n) for a, n in _PUBLISHED] + [_TIME]).alias("meta_published"), _first(F.col("html"), [_META.format(a, n) for a, n in _MODIFIED]).alias("meta_modified"))
+    meta = pages.select("fetch_id", "url", _first(F.col("html"), [_META.format(a, n) for a, n in _PUBLISHED] + [_TIME]).alias("meta_published"), _first(F.col("html"), [_META.format(a, n) for a, n in _MODIFIED]).alias("meta_modified")).distinct()
     maps = sitemap_rows(sitemap_files(spark, sf_dir)).where("loc is not null").groupBy(F.regexp_replace("loc", "/$", "").alias("key")).agg(F.min_by("lastmod", F.struct("origin", "ordinal")).alias("sitemap_lastmod"))
     rows = meta.join(ld, "fetch_id", "left").withColumn("key", F.regexp_replace("url", "/$", "")).join(maps, "key", "left")
     return rows.select("fetch_id", "url", "ld_published", "ld_modified", "meta_published", "meta_modified", "sitemap_lastmod")
@@ -103,7 +103,7 @@ _HREF = r"(?i)<a[^>]*href=[\"']([^\"']*)[\"']"
 def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per fetch: title, description and first h1 as text, words, links (relative, mailto and tel ones count as internal), content depth, canonical conflict, the
     orphan risk of so few links one click deep, how fit for phones, and the load estimates; a fetch without html gets the report of a failed one."""
-    fetched = load(spark, sf_dir, "fetch_results").select("fetch_id", "url", F.coalesce("html", F.lit("")).alias("html")).distinct()
+    fetched = spread(load(spark, sf_dir, "fetch_results").select("fetch_id", "url", F.coalesce("html", F.lit("")).alias("html")))
     h = F.when(F.col("html") == "", "").otherwise(F.concat(F.expr(augmented.BEFORE), F.col("html")))
     rows = fetched.withColumn("html", h).withColumn("visible", H.visible(F.col("html")))
     html = F.col("html")
@@ -133,7 +133,7 @@ def page_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fetch_id", F.when(failed, "failed").otherwise("success").alias("outcome"), "title", "description", "h1", unless(w, 0).cast("bigint").alias("words"), unless(F.col("internal"), 0).cast("bigint").alias("internal"), unless(F.col("external"), 0).cast("bigint").alias("external"),
         unless(depth, 0).cast("bigint").alias("depth_score"), unless(conflict, F.lit(False)).alias("conflict"), unless(F.when(F.col("internal") < 3, 40).when(F.col("internal") < 5, 20).otherwise(0), 0).cast("bigint").alias("orphan_risk"),
         unless(F.coalesce(F.col("px") >= 14, F.lit(True)), F.lit(False)).alias("font_ok"), unless(~html.contains("touch-action: none"), F.lit(False)).alias("tap_ok"), unless(lcp, "unknown").alias("lcp"), unless(cls, "unknown").alias("cls"), unless(inp, "unknown").alias("inp"),
-    )
+    ).distinct()
 
 
 def _report_sql() -> str:
@@ -227,7 +227,7 @@ SELECT meta_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY me
 
 def page_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten commonest words of more than three characters of each page's text with their share in percent; ties by first appearance, numbers first."""
-    rows = load(spark, sf_dir, "fetch_results").where("html <> ''")
+    rows = spread(load(spark, sf_dir, "fetch_results").select("fetch_id", "html").where("html <> ''"))
     words = F.filter(F.split(F.lower(H.visible(F.col("html"))), " "), lambda w: F.length(w) > 3)
     long = rows.select("fetch_id", words.alias("w")).select("fetch_id", F.size("w").alias("total"), F.posexplode("w").alias("place", "term"))
     # redelivered pages are whole copies: their counts are divided by their number, so no text crosses a shuffle

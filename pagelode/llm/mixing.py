@@ -97,7 +97,7 @@ def targets_of(targets: DataFrame) -> DataFrame:
 
 def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(taken: doc_id, source, tokens, times; shares: one row per target source)."""
-    sized = spread(documents.select("text", "doc_id", source_key(F.col("source")).alias("source")).where("text is not null and trim(text) <> '' and doc_id is not null and source is not null"))
+    sized = spread(documents.select("text", "doc_id", source_key(F.col("source")).alias("source")).where("text rlike '\\\\S' and doc_id is not null and source is not null"))
     sized = scratch(with_token_counts(sized, "text", "tokens", vocabulary), "tokens").where("tokens > 0").dropDuplicates(["doc_id"])
     wanted = targets_of(targets)
     usable = wanted.where("target_share > 0 and max_repeats >= 1")

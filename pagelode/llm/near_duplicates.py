@@ -191,3 +191,9 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep")))
     degree = ends.groupBy("rep").agg(F.count("*").alias("n_links"))
     return members.join(degree, "rep", "left").select("fetch_id", F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(class_a, class_b): the links between classes of equal bodies, the smaller id first; with the membership of ``classes`` they say all that ``found`` does, without its squares."""
+    links, _ = near_duplicate_links(bodies(load(spark, sf_dir, "fetch_results")))
+    return links.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))

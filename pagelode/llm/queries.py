@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_from_days": radix_percentiles.from_days,
         "p3_found": near_duplicates.found,
         "p3_classes": near_duplicates.classes,
+        "p3_links": near_duplicates.class_links,
         "p4_found": main_content.found,
         "p7_found": encoding_repair.found,
         "p7_restored": encoding_repair.restored,

@@ -141,10 +141,19 @@ def _trimmed_path(path_: Column) -> Column:
     return F.when(path_ == "", "/").when(F.length(path_) > 1, F.coalesce(F.nullif(F.regexp_replace(path_, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path_)
 
 
+#: Escapes that stay when a path is decoded: those of characters that would change what it means.
+_RESERVED = "(?i)%(2F|3F|23|3B|2C|40|26|3D|2B|24|3A)"
+
+
+def _decoded(path_: Column) -> Column:
+    """path_ with its percent-escapes decoded, but for reserved characters; as it is if it can't be."""
+    return F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(path_, _RESERVED, "%25$1"), F.lit("+"), F.lit("%2B"))), path_)
+
+
 def canonical_strict(url: Column) -> Column:
     """Origin in lower case, path without trailing slashes and decoded, query as written, no fragment; what can't be read as an address loses its trailing slashes."""
     raw = F.coalesce(F.nullif(F.regexp_replace(url, "/+$", ""), F.lit("")), url)
-    return let(parts(url), lambda p: F.when(_web(p), F.concat(_origin(p), F.coalesce(F.try_url_decode(F.replace(_trimmed_path(p[3]), F.lit("+"), F.lit("%2B"))), _trimmed_path(p[3])), F.when(p[4] == "", "").otherwise(F.concat(F.lit("?"), p[4])))).otherwise(raw))
+    return let(parts(url), lambda p: F.when(_web(p), F.concat(_origin(p), _decoded(_trimmed_path(p[3])), F.when(p[4] == "", "").otherwise(F.concat(F.lit("?"), p[4])))).otherwise(raw))
 
 
 def canonical_lenient(url: Column) -> Column:
@@ -153,7 +162,7 @@ def canonical_lenient(url: Column) -> Column:
 
     def build(p: Column) -> Column:
         kept = F.array_sort(F.filter(F.split(p[4], "&"), lambda x: (x != "") & ~_key(x).isin(*CANONICAL_STRIPPED)))
-        return F.when(_web(p), F.concat(_origin(p), F.coalesce(F.try_url_decode(F.replace(_trimmed_path(p[3]), F.lit("+"), F.lit("%2B"))), _trimmed_path(p[3])), _query(kept))).otherwise(raw)
+        return F.when(_web(p), F.concat(_origin(p), _decoded(_trimmed_path(p[3])), _query(kept))).otherwise(raw)
 
     return let(parts(url), build)
 

@@ -44,6 +44,12 @@ def test_canonical_tiers(spark):
     assert [tuple(r)[1:] for r in got] == [want for _, _, want in cases]
 
 
+def test_paths_are_decoded_but_for_reserved(spark):
+    cases = {f"{E}/a%20b+c/": f"{E}/a b+c", f"{E}/a%2Fb%3fc": f"{E}/a%2Fb%3fc", f"{E}/caf%C3%A9?q=%20#x": f"{E}/café?q=%20", f"{E}/bad%zz": f"{E}/bad%zz", "odd//": "odd", "//": "//"}
+    assert each(spark, cases, U.canonical_strict) == list(cases.values())
+    assert each(spark, [f"{E}/a?b=2&utm_source=x&a=1"], U.canonical_lenient) == [f"{E}/a?a=1&b=2"]
+
+
 def test_url_rules(spark):
     assert each(spark, [f"{E}/a?page=2&x=1", f"{E}/a/page/3/", f"{E}/page/2", f"{E}/a?p=1#t", "odd"], U.without_page) == [f"{E}/a?x=1", f"{E}/a", f"{E}/", f"{E}/a#t", "odd"]
     assert each(spark, ["http://h.example/a", "HTTPS://h.example", "ftp://h.example"], U.other_scheme) == ["https://h.example/a", "http://h.example", None]

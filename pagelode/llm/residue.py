@@ -199,15 +199,32 @@ _RESIDUE_HINTS = (
 @functools.cache
 def _automaton():
     """Aho-Corasick automaton of the hints and cues, each with its class; one pass over a page's text finds them all."""
-    import ahocorasick
-
+    words = {word: (word in _RESIDUE_HINTS, word in CUES or word in _FORM_HINTS) for word in {*_RESIDUE_HINTS, *CUES, *_FORM_HINTS}}
+    try:
+        import ahocorasick
+    except ImportError:
+        return _OneByOne(words)
     found = ahocorasick.Automaton()
-    for word in {*_RESIDUE_HINTS, *CUES, *_FORM_HINTS}:
-        found.add_word(word, (word in _RESIDUE_HINTS, word in CUES or word in _FORM_HINTS))
+    for word, kind in words.items():
+        found.add_word(word, kind)
     found.make_automaton()
     return found
 
 
+class _OneByOne:
+    """What the automaton finds, word by word, where the library is missing: the same blocks, more slowly."""
+
+    def __init__(self, words: dict[str, tuple[bool, bool]]) -> None:
+        self.words = words
+
+    def iter(self, text: str) -> Iterator[tuple[int, tuple[bool, bool]]]:
+        for word, kind in self.words.items():
+            at = text.find(word)
+            while at >= 0:
+                yield at + len(word) - 1, kind
+                at = text.find(word, at + 1)
+
+
 def hinted(page: Page) -> tuple[set[int], set[int]]:
     """(blocks that may hold residue, blocks that may hold a message), by number from 0; the title has the number after the last."""
     texts = [b.text for b in page.blocks]

@@ -192,3 +192,12 @@ def test_masks():
     assert residue.masked("Ref 12.5 at 10:30 on 2024-01-02, see https://a.example/x", ()) == "ref # at @date on @date, see @url"
     assert residue.masked("Paper Times is down", residue.names_of("https://www.paper-times.example/a")) == "@name @name is down"
     assert residue.names_of(None) == () == residue.names_of("no url")
+
+
+def test_hints_without_the_library():
+    texts = [story("<p>Dear {{ name }}, please wait, lorem ipsum.</p>"), story(), html("<h1>Access denied</h1>"), story("<pre>undefined undefined</pre>", title="Ihr Text hier")]
+    for text in texts:
+        low = "\n".join(b.text for b in Page(text).blocks).lower()
+        found = residue._automaton()
+        plain = residue._OneByOne({w: (w in residue._RESIDUE_HINTS, w in residue.CUES or w in residue._FORM_HINTS) for w in {*residue._RESIDUE_HINTS, *residue.CUES, *residue._FORM_HINTS}})
+        assert sorted(found.iter(low)) == sorted(plain.iter(low))

@@ -88,6 +88,7 @@ class Passages:
         known = WordHashes()
         self.run, self.budget, self.piece = run, budget, piece_width(run, budget)
         self.words: list[tuple[int, list[str]]] = []
+        self.sets: dict[tuple[int, int], frozenset[str]] = {}
         hashes, where = [], []
         for item_id, passage in items:
             words = words_of(passage or "")
@@ -117,21 +118,32 @@ class Passages:
                 k += 1
                 item_id, passage = self.words[item]
                 if found.get(item_id, 1):
-                    errors = self._errors(passage, start, words, j)
+                    errors = self._errors(item, passage, start, words, j)
                     if errors <= self.budget and errors < found.get(item_id, errors + 1):
                         found[item_id] = errors
         return found
 
-    def _errors(self, passage: list[str], start: int, words: list[str], j: int) -> int:
-        """Least distance of a run of the passage around the piece at start from the words around j."""
+    def _errors(self, item: int, passage: list[str], start: int, words: list[str], j: int) -> int:
+        """Least distance of a run of the passage around the piece at start from the words around j.
+
+        A run that lacks more of its different words there than the budget is farther than that, and isn't measured."""
         best = self.budget + 1
+        around = None
         for s in range(max(0, start + self.piece - self.run), min(start, len(passage) - self.run) + 1):
             first = j - (start - s)
+            if first + self.run <= 0 or first >= len(words):
+                continue
+            if around is None:  # the words that any of these runs is compared with
+                around = set(words[max(0, j - self.run - self.budget) : j + self.run + self.budget])
+            of = self.sets.get((item, s))
+            if of is None:
+                of = self.sets[item, s] = frozenset(passage[s : s + self.run])
+            if len(of & around) < len(of) - self.budget:
+                continue
             context = words[max(0, first - self.budget) : first + self.run + self.budget]
-            if len(context) >= self.run - self.budget:
-                best = min(best, myers_distance(passage[s : s + self.run], context))
-                if best == 0:
-                    break
+            best = min(best, myers_distance(passage[s : s + self.run], context))
+            if best == 0:
+                break
         return best
 
 

@@ -188,7 +188,7 @@ SELECT site, CASE WHEN http_status IN (401, 403) THEN 'BLOCKED' WHEN http_status
  (SELECT count(*) FROM k WHERE k.site = r.site AND key = 'sitemap' AND regexp_matches(value, '(?i)^https?://')) AS n_sitemaps, coalesce((SELECT bool_or(agent = '*' AND key = 'disallow' AND value = '/') FROM u WHERE u.site = r.site), false) AS closed FROM r"""
 
 #: Who crawls, in lower case.
-AGENT = "mozilla/5.0 (compatible; seo-crawler/1.0)"
+AGENT = "mozilla/5.0 (compatible; audit-crawler/1.0)"
 
 
 def merged_rules(files: DataFrame, agent: str = AGENT) -> DataFrame:
